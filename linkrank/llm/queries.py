@@ -1,9 +1,10 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import packing, sharding, warc
+from . import media, packing, sharding, warc
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4,
+    "op6_media_chunks": media.op6,
     "op7_feistel_sharding": sharding.op7,
     "op10_warc_transactions": warc.op10,
 }
