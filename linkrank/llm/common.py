@@ -5,12 +5,30 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes the package importable in Python workers, wherever they run; once a session."""
+    import linkrank
+
+    context = spark.sparkContext
+    if getattr(context, "_linkrank_shipped", None) is None:
+        root = Path(next(iter(linkrank.__path__)))
+        path = Path(tempfile.mkdtemp(prefix="linkrank-")) / "linkrank.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for f in sorted(root.rglob("*.py")):
+                out.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(path))
+        context._linkrank_shipped = path
+    return spark
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share. Only where the session
     names none (single-machine tests) is a local folder chosen, and kept for the session's later calls."""

@@ -1,11 +1,15 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import media, packing, sharding, warc
+from . import decontamination, media, packing, sharding, toxicity, warc
+from .common import ship
 
-QUERIES = {
+OPERATORS = {
+    "op1_decontamination": decontamination.op1,
+    "op2_toxicity": toxicity.op2,
     "op4_best_fit_packing": packing.op4,
     "op6_media_chunks": media.op6,
     "op7_feistel_sharding": sharding.op7,
     "op10_warc_transactions": warc.op10,
 }
-SQL = {"op10_warc_transactions": warc.OP10_SQL}
+QUERIES = {name: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for name, f in OPERATORS.items()}
+SQL = {"op1_decontamination": decontamination.OP1_SQL, "op10_warc_transactions": warc.OP10_SQL}
