@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rows, packed, parts, rows_of, saved, text_key, unpacked
-from .symbols import SPACED, anchored_runs, self_repeating, words
+from .symbols import SPACED, anchored_runs, words
 
 LAST = (1 << 63) - 1  # stands for a null doc_id: larger than any other
 EMPTY = hashlib.sha256(b"").digest()
@@ -49,7 +49,7 @@ SCAN_DDL = "doc_id long, key binary, n long, plain binary, lead boolean, anchors
 BLOB = pa.schema([("key", pa.binary()), ("blob", pa.binary())])
 STRETCH = pa.schema([("anchor", pa.int64()), ("content", pa.binary()), ("starts", pa.int32()), ("times", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 STRETCH_DDL = "anchor long, content binary, starts int, times long, low long, high long"
-PLACE = pa.schema([("sid", pa.int64()), ("run", pa.int32()), ("first", pa.int32()), ("cid", pa.binary())])
+PLACE = pa.schema([("sid", pa.int64()), ("first", pa.int32()), ("cid", pa.binary())])
 VERDICT = pa.schema([("cid", pa.binary()), ("runs", pa.list_(pa.int64()))])
 LEFT = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("blob", pa.binary())])
 
@@ -58,6 +58,7 @@ LEFT = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", p
 class Stretch:
     """Distinct content with `starts` window starts: how often it stands, and the least and largest doc_id with it."""
 
+    anchor: int
     content: bytes
     starts: int
     times: int
@@ -77,10 +78,9 @@ def _scan(docs: DataFrame, units: Units, within: bool) -> DataFrame:
             seen.add(key)
             anchors, inner = (), ()
             if lead:
-                anchors, first, stop = anchored_runs(symbols, units.window, units.gram, units.longest)
-                if within:
-                    inner = anchors[self_repeating(symbols, units.window, units.gram, anchors, first, stop)].view(np.int64)
+                anchors, _, _, inner = anchored_runs(symbols, units.window, units.gram, within)
                 anchors = anchors.view(np.int64)
+                inner = anchors[inner]
             if out.add(doc, key, len(symbols), plain, lead, anchors, inner, weight=200 + 8 * len(anchors)):
                 yield out.take()
         yield out.take()
@@ -109,16 +109,17 @@ def _content_id(anchor: int, content: bytes) -> bytes:
 
 
 def _stretches(rows, units: Units):
-    """(sid, run, first, anchor, content, starts, low) of each marked run of a text."""
+    """(sid, first, anchor, content, starts, low) of the stretches, of `longest` starts at most, of each marked run of a text."""
     for sid, low, blob, marks in rows:
         data = unpacked(blob)
         symbols, begin, end = units.cut(data)
-        anchors, first, stop = anchored_runs(symbols, units.window, units.gram, units.longest)
+        anchors, first, stop, _ = anchored_runs(symbols, units.window, units.gram)
         for run in sorted(m for m in marks if m < len(anchors)):
-            a, b = int(first[run]), int(stop[run])
-            last = b + units.window - 1
-            content = data[a:last] if begin is None else data[begin[a] : end[last - 1]]
-            yield sid, run, a, int(anchors[run].view(np.int64)), content, b - a, low
+            for a in range(int(first[run]), int(stop[run]), units.longest):
+                b = min(a + units.longest, int(stop[run]))
+                last = b + units.window - 1
+                content = data[a:last] if begin is None else data[begin[a] : end[last - 1]]
+                yield sid, a, int(anchors[run].view(np.int64)), content, b - a, low
 
 
 def repeats(docs: DataFrame, units: Units, within: bool, judge: Callable[[list[Stretch]], Iterator[tuple[int, list[int]]]], batch_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +148,7 @@ def repeats(docs: DataFrame, units: Units, within: bool, judge: Callable[[list[S
         out = Rows(STRETCH)
         size = 0
         for batch in batches:
-            for _, _, _, anchor, content, starts, low in _stretches(rows_of([batch], "sid", "low", "blob", "marks"), units):
+            for _, _, anchor, content, starts, low in _stretches(rows_of([batch], "sid", "low", "blob", "marks"), units):
                 cid = _content_id(anchor, content)
                 if cid in found:
                     x = found[cid]
@@ -169,32 +170,32 @@ def repeats(docs: DataFrame, units: Units, within: bool, judge: Callable[[list[S
         out = Rows(VERDICT)
 
         def settle(group):
-            for i, runs in judge([g[1] for g in group]):
-                if out.add(_content_id(group[i][0], group[i][1].content), runs, weight=40 + 8 * len(runs)):
+            for i, runs in judge(group):
+                if out.add(_content_id(group[i].anchor, group[i].content), runs, weight=40 + 8 * len(runs)):
                     yield out.take()
 
         def groups():
-            """Stretches by anchor; equal content of several tasks becomes one."""
+            """The stretches of each anchor; equal content of several tasks becomes one."""
             now, same = None, {}
             for anchor, content, starts, times, low, high in rows_of(batches, "anchor", "content", "starts", "times", "low", "high"):
                 if anchor != now:
                     if same:
-                        yield now, same
+                        yield same
                     now, same = anchor, {}
                 if x := same.get(content):
                     x.times, x.low, x.high = x.times + times, min(x.low, low), max(x.high, high)
                 else:
-                    same[content] = Stretch(content, starts, times, low, high)
+                    same[content] = Stretch(anchor, content, starts, times, low, high)
             if same:
-                yield now, same
+                yield same
 
         batch, size = [], 0
-        for anchor, same in groups():
+        for same in groups():
             more = sum(len(c) for c in same)
             if batch and size + more > batch_bytes:
                 yield from settle(batch)
                 batch, size = [], 0
-            batch += [(anchor, x) for x in same.values()]
+            batch += same.values()
             size += more
         if batch:
             yield from settle(batch)
@@ -206,12 +207,12 @@ def repeats(docs: DataFrame, units: Units, within: bool, judge: Callable[[list[S
 
     def place(batches):
         out = Rows(PLACE)
-        for sid, run, first, anchor, content, _, _ in _stretches(rows_of(batches, "sid", "low", "blob", "marks"), units):
-            if out.add(sid, run, first, _content_id(anchor, content)):
+        for sid, first, anchor, content, _, _ in _stretches(rows_of(batches, "sid", "low", "blob", "marks"), units):
+            if out.add(sid, first, _content_id(anchor, content)):
                 yield out.take()
         yield out.take()
 
-    places = suspects.select("sid", "low", "blob", "marks").mapInArrow(place, "sid long, run int, first int, cid binary")
+    places = suspects.select("sid", "low", "blob", "marks").mapInArrow(place, "sid long, first int, cid binary")
     gone = places.join(judged, "cid").groupBy("sid").agg(F.collect_list(F.struct("first", "runs")).alias("gone"))
 
     def strip(batches):

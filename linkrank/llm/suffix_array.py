@@ -13,7 +13,7 @@ from .common import rows_of, saved, unpacked
 from .repeats import EMPTY, Stretch, Units, repeats
 
 WINDOW = 200
-BYTES = Units("bytes", WINDOW, 96, 64)
+BYTES = Units("bytes", WINDOW, 96, 105)
 IN_MEMORY = 64 << 20
 
 
@@ -123,7 +123,14 @@ def collection_arrays(texts: list[bytes], most: int = WINDOW) -> tuple[np.ndarra
 
 
 def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
-    """Window starts whose 200 bytes stand at two places at least."""
+    """Window starts whose 200 bytes stand at two places at least. Stretches that stand twice themselves are known; they go into the arrays
+    only for the sake of others under their anchor."""
+    open_anchors = {s.anchor for s in stretches if s.times < 2}
+    for i, s in enumerate(stretches):
+        if s.times > 1:
+            yield i, [0, s.starts, 0]
+    numbers = [i for i, s in enumerate(stretches) if s.anchor in open_anchors]
+    stretches = [stretches[i] for i in numbers]
     texts = [s.content for s in stretches]
     owner, size, common = collection_arrays(texts)
     window = size >= WINDOW
@@ -139,7 +146,8 @@ def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
     new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
     runs: dict[int, list[int]] = {}
     for a, b in zip(new.tolist(), np.append(new[1:], len(start)).tolist(), strict=True):
-        runs.setdefault(int(owner[a]), []).extend((int(start[a]), int(start[a]) + b - a, 0))
+        if stretches[owner[a]].times < 2:
+            runs.setdefault(numbers[owner[a]], []).extend((int(start[a]), int(start[a]) + b - a, 0))
     yield from runs.items()
 
 

@@ -97,43 +97,31 @@ def sliding_max(values: np.ndarray, width: int) -> np.ndarray:
 BLOCK = 1 << 19
 
 
-def anchored_runs(symbols: np.ndarray, window: int, gram: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts the window starts 0..len-window into runs: anchor, first start, end of the starts.
+def anchored_runs(symbols: np.ndarray, window: int, gram: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts the window starts 0..len-window into runs: anchor, first start, end of the starts; and the runs that may repeat inside.
 
     A window's anchor is the least gram hash inside it. It depends on the window's content alone, so equal windows have equal
-    anchors wherever they stand, and each window start belongs to one run. Runs are cut at `longest` starts, and where
-    a block of a very long text ends."""
-    anchors, firsts, ends = [], [], []
+    anchors wherever they stand, and each window start belongs to one run. Runs are also cut where a block of a very long text ends.
+    With `inner`, the last result lists runs whose anchor stands at two places inside, so that two of their own windows may be equal."""
+    anchors, firsts, ends, twice = [], [], [], []
+    width, runs = window - gram + 1, 0
     for at in range(0, len(symbols) - window + 1, BLOCK):
-        least = sliding_min(grams(symbols[at : at + BLOCK + window - 1], gram), window - gram + 1)
+        here = grams(symbols[at : at + BLOCK + window - 1], gram)
+        least = sliding_min(here, width)
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         end = np.append(first[1:], len(least))
-        if (end - first).max() > longest:
-            first = np.concatenate([np.arange(a, b, longest) for a, b in zip(first, end, strict=True)])
-            end = np.append(first[1:], len(least))
         anchors.append(least[first])
         firsts.append(first + at)
         ends.append(end + at)
-    if not anchors:
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none
-    return np.concatenate(anchors), np.concatenate(firsts), np.concatenate(ends)
-
-
-def self_repeating(symbols: np.ndarray, window: int, gram: int, anchors: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Runs whose anchor stands at two places inside the run, so that two of its own windows may be equal."""
-    if not len(anchors):
-        return firsts
-    found, width = [], window - gram + 1
-    for at in range(0, len(symbols) - window + 1, BLOCK):
-        here = grams(symbols[at : at + BLOCK + window - 1], gram)
-        least = sliding_min(here, width)
-        edge = np.zeros(width - 1, np.uint64)
-        place = np.flatnonzero(sliding_max(np.concatenate((edge, least, edge)), width) == here)  # those that are least in some window
-        runs = np.flatnonzero((firsts >= at) & (firsts < at + BLOCK))
-        names, code = np.unique(here[place], return_inverse=True)
-        held = np.sort((code << 32) + place)
-        mine = np.searchsorted(names, anchors[runs]) << 32
-        count = np.searchsorted(held, mine + ends[runs] - at + width - 1) - np.searchsorted(held, mine + firsts[runs] - at)
-        found.append(runs[count > 1])
-    return np.concatenate(found)
+        if inner:
+            edge = np.zeros(width - 1, np.uint64)
+            place = np.flatnonzero(sliding_max(np.concatenate((edge, least, edge)), width) == here)  # those that are least in some window
+            if len(place) > len(first) or len(np.unique(least[first])) < len(first):
+                names, code = np.unique(here[place], return_inverse=True)
+                held = np.sort((code << 32) + place)
+                mine = np.searchsorted(names, least[first]) << 32
+                count = np.searchsorted(held, mine + end + width - 1) - np.searchsorted(held, mine + first)
+                twice.append(np.flatnonzero(count > 1) + runs)
+        runs += len(first)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    return join(anchors, np.uint64), join(firsts, np.int64), join(ends, np.int64), join(twice, np.int64)
