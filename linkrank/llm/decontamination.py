@@ -19,6 +19,10 @@ def bench_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), GAPS), "")
 
 
+def text_sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def windows(items: DataFrame, size: int) -> DataFrame:
     """item_id, win (array of words): all windows of `size` words; a shorter item is one window, an item without words has none."""
     w = F.col("words")
@@ -43,17 +47,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_WINDOWS else df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """docs(doc_id, text), items(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A document word inside any occurrence of an item's window is hit. Texts stand for themselves, so equal texts share one
-    search and null or repeated doc_ids keep their rows. Null and empty texts have no words and no hits; items with a null id or
-    without words never occur; an empty benchmark leaves every document clean."""
+def occurrences(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """(key, n_hit, items) of each distinct text, by its SHA-256, in which a window of an item occurs."""
     items = items.filter(F.col("item_id").isNotNull()).select("item_id", "text")
     wins = saved(windows(items, size))
     joined = _small(saved(prefixes(wins, docs)))
-    key = F.sha2(F.col("text").cast("binary"), 256).alias("key")
-    words = docs.select(key, bench_words(F.col("text")).alias("words"))
+    words = docs.select(text_sha(F.col("text")).alias("key"), bench_words(F.col("text")).alias("words"))
     spread = words.select("key", "words", F.posexplode("words").alias("pos", "token"))
     start = F.col("pos") - F.col("off")
     n = F.size("win")
@@ -66,8 +65,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
         lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n")),
         lambda s: s["n"],
     )
-    hits = saved(hits.select("key", cover.alias("n_hit"), F.array_sort(F.transform("ids", lambda i: i.cast("string"))).alias("items")))
-    every = docs.select("doc_id", key, F.size(bench_words(F.col("text"))).cast("long").alias("n_words"))
+    return saved(hits.select("key", cover.alias("n_hit"), F.array_sort(F.transform("ids", lambda i: i.cast("string"))).alias("items")))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The documents in which no window occurs, with all their columns."""
+    name = "__linkrank_key"
+    hits = occurrences(docs.select("text"), items, size).select(F.col("key").alias(name))
+    return docs.withColumn(name + "_", text_sha(F.col("text"))).join(hits, F.col(name + "_") == F.col(name), "left_anti").drop(name + "_")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """docs(doc_id, text), items(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A document word inside any occurrence of an item's window is hit. Texts stand for themselves, so equal texts share one
+    search and null or repeated doc_ids keep their rows. Null and empty texts have no words and no hits; items with a null id or
+    without words never occur; an empty benchmark leaves every document clean."""
+    hits = occurrences(docs, items, size)
+    every = docs.select("doc_id", text_sha(F.col("text")).alias("key"), F.size(bench_words(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return every.join(hits, "key", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

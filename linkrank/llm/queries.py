@@ -1,11 +1,12 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, media, packing, sharding, suffix_array, suffix_tree, toxicity, warc
+from . import decontamination, jaccard, media, packing, sharding, suffix_array, suffix_tree, toxicity, warc
 from .common import ship
 
 OPERATORS = {
     "op1_decontamination": decontamination.op1,
     "op2_toxicity": toxicity.op2,
+    "op3_ngram_jaccard": jaccard.op3,
     "op4_best_fit_packing": packing.op4,
     "op5_substring_dedup": suffix_tree.op5,
     "op6_media_chunks": media.op6,

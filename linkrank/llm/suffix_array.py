@@ -155,6 +155,36 @@ def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeats(docs, BYTES, True, judge)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, without the bytes that op9 removes. A character of which a byte goes, goes whole; n_chars,
+    where there is one, follows the text. Null texts stay null, and documents of which nothing is left stay as empty texts."""
+    import pyarrow as pa
+
+    at, size, blob = "__linkrank_key", "__linkrank_copies", "__linkrank_blob"
+    _, texts = repeated_bytes(docs.select("doc_id", "text"))
+    changed = texts.filter((F.col("copies") > 1) | F.col("blob").isNotNull()).select(F.col("key").alias(at), F.col("copies").alias(size), F.col("blob").alias(blob))
+    keyed = docs.withColumn(at, F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    joined = keyed.join(saved(changed), at, "left")
+    names = docs.columns
+
+    def replace(batches):
+        for batch in batches:
+            texts = []
+            for text, copies, left in rows_of([batch], "text", size, blob):
+                if copies is not None and text is not None:
+                    if copies > 1 and len(text.encode()) >= WINDOW:
+                        text = ""
+                    elif left is not None:
+                        text = unpacked(left).decode("utf-8", "ignore")
+                texts.append(text)
+            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, batch.schema.field("text").type)}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return joined.drop(at).mapInArrow(replace, docs.schema)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     """Every document: what of it stands nowhere else. Null and empty texts have no bytes, equal rows are copies of each other,
     a text shorter than the window stays whole."""
