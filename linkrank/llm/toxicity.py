@@ -138,7 +138,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted ridge logistic regression by Newton steps, in the given scale."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.column_stack((np.ones(len(x)), (x - mean) / scale))
-    ridge, b = np.diag([1e-3, *[1.0] * x.shape[1]]), np.zeros(1 + x.shape[1])
+    ridge, b = np.diag([1e-3, *[0.05] * x.shape[1]]), np.zeros(1 + x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
         step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ b)
