@@ -1,16 +1,20 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, and Arrow helpers."""
+"""Shared pieces: shipping the package to workers, scratch tables and Arrow helpers."""
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..scratch import saved, scratch_dir
+
+
+__all__ = ["Rows", "packed", "parts", "rows_of", "saved", "scratch_dir", "ship", "text_key", "unpacked"]
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -29,25 +33,6 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where the session
-    names none (single-machine tests) is a local folder chosen, and kept for the session's later calls."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("linkrank.scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="linkrank-")
-        spark.conf.set("linkrank.scratch", root)
-    return f"{root.rstrip('/')}/linkrank-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder and read back: later jobs start from files that outlive
-    any executor, and its lineage ends here. Compressed, unlike a checkpoint of internal rows."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,6 +38,11 @@ class Units:
         starts, ends, hashes = words(data, SPACED)
         return hashes, starts, ends
 
+    def content(self, data: bytes, begin, end, a: int, b: int) -> bytes:
+        """What the windows that start at a..b-1 cover."""
+        last = b + self.window - 1
+        return data[a:last] if begin is None else data[begin[a] : end[last - 1]]
+
     def kept(self, data: bytes, starts, ends, removed: np.ndarray) -> bytes:
         if self.kind == "bytes":
             return np.frombuffer(data, np.uint8)[~removed].tobytes()
@@ -49,7 +54,8 @@ SCAN_DDL = "doc_id long, key binary, n long, plain binary, lead boolean, anchors
 BLOB = pa.schema([("key", pa.binary()), ("blob", pa.binary())])
 STRETCH = pa.schema([("anchor", pa.int64()), ("content", pa.binary()), ("starts", pa.int32()), ("times", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 STRETCH_DDL = "anchor long, content binary, starts int, times long, low long, high long"
-PLACE = pa.schema([("sid", pa.int64()), ("first", pa.int32()), ("cid", pa.binary())])
+SUSPECT = pa.schema([("key", pa.binary()), ("low", pa.int64()), ("blob", pa.binary()), ("first", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("anchor", pa.list_(pa.int64())), ("cid", pa.list_(pa.binary()))])
+SUSPECT_DDL = "key binary, low long, blob binary, first array<int>, starts array<int>, anchor array<long>, cid array<binary>"
 VERDICT = pa.schema([("cid", pa.binary()), ("runs", pa.list_(pa.int64()))])
 LEFT = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("blob", pa.binary())])
 
@@ -108,21 +114,25 @@ def _content_id(anchor: int, content: bytes) -> bytes:
     return hashlib.blake2b(content, digest_size=16, key=anchor.to_bytes(8, "little", signed=True)).digest()
 
 
-def _stretches(rows, units: Units):
-    """(sid, first, anchor, content, starts, low) of the stretches, of `longest` starts at most, of each marked run of a text."""
-    for sid, low, blob, marks in rows:
+def _cut(batches, units: Units):
+    """Of each suspect text, the stretches, of `longest` starts at most, of its marked runs."""
+    out = Rows(SUSPECT)
+    for key, low, blob, marks in rows_of(batches, "key", "low", "blob", "marks"):
         data = unpacked(blob)
         symbols, begin, end = units.cut(data)
         anchors, first, stop, _ = anchored_runs(symbols, units.window, units.gram)
+        found = []
         for run in sorted(m for m in marks if m < len(anchors)):
+            anchor = int(anchors[run].view(np.int64))
             for a in range(int(first[run]), int(stop[run]), units.longest):
                 b = min(a + units.longest, int(stop[run]))
-                last = b + units.window - 1
-                content = data[a:last] if begin is None else data[begin[a] : end[last - 1]]
-                yield sid, a, int(anchors[run].view(np.int64)), content, b - a, low
+                found.append((a, b - a, anchor, _content_id(anchor, units.content(data, begin, end, a, b))))
+        if out.add(key, low, blob, *([list(c) for c in zip(*found, strict=True)] or [[], [], [], []]), weight=200 + len(blob) + 60 * len(found)):
+            yield out.take()
+    yield out.take()
 
 
-def repeats(docs: DataFrame, units: Units, within: bool, judge: Callable[[list[Stretch]], Iterator[tuple[int, list[int]]]], batch_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, units: Units, within: bool, judge: Callable[[list[Stretch]], Iterator[tuple[int, list[int]]]], batch_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, key, n, plain) of every document, and per distinct text key: copies, low (least doc_id), and, where part of it
     goes, n_removed, n_spans, kept (digest) and blob (what is left, compressed).
 
@@ -141,19 +151,22 @@ def repeats(docs: DataFrame, units: Units, within: bool, judge: Callable[[list[S
     again = seen.groupBy("anchor").agg(F.min("w").alias("a"), F.max("w").alias("b")).filter("a != b").select("anchor")
     marks = spread.join(saved(again), "anchor").groupBy("k").agg(F.collect_set("run").alias("marks"))
     marks = saved(marks.join(texts.select("key", "low", short.alias("k")), "k").select("key", "low", "marks"))
-    suspects = saved(_blobs(docs).join(marks, "key").withColumn("sid", F.monotonically_increasing_id()))
+    suspects = _blobs(docs).join(marks, "key").mapInArrow(lambda batches: _cut(batches, units), SUSPECT_DDL)
+    suspects = saved(suspects.withColumn("sid", F.monotonically_increasing_id()))
 
     def stretch(batches):
         found: dict[bytes, list] = {}
         out = Rows(STRETCH)
         size = 0
-        for batch in batches:
-            for _, _, anchor, content, starts, low in _stretches(rows_of([batch], "sid", "low", "blob", "marks"), units):
-                cid = _content_id(anchor, content)
+        for low, blob, *stretches in rows_of(batches, "low", "blob", "first", "starts", "anchor", "cid"):
+            data = unpacked(blob)
+            _, begin, end = units.cut(data)
+            for first, starts, anchor, cid in zip(*stretches, strict=True):
                 if cid in found:
                     x = found[cid]
                     x[3], x[4], x[5] = x[3] + 1, min(x[4], low), max(x[5], low)
                 else:
+                    content = units.content(data, begin, end, first, first + starts)
                     found[cid] = [anchor, content, starts, 1, low, low]
                     size += len(content) + 300
                 if size > 32 << 20:
@@ -202,17 +215,10 @@ def repeats(docs: DataFrame, units: Units, within: bool, judge: Callable[[list[S
         yield out.take()
 
     n = parts(docs.sparkSession)
-    dealt = suspects.select("sid", "low", "blob", "marks").mapInArrow(stretch, STRETCH_DDL).repartition(n, "anchor").sortWithinPartitions("anchor")
+    dealt = suspects.select("low", "blob", "first", "starts", "anchor", "cid").mapInArrow(stretch, STRETCH_DDL).repartition(n, "anchor").sortWithinPartitions("anchor")
     judged = saved(dealt.mapInArrow(verdicts, "cid binary, runs array<long>"))
 
-    def place(batches):
-        out = Rows(PLACE)
-        for sid, first, anchor, content, _, _ in _stretches(rows_of(batches, "sid", "low", "blob", "marks"), units):
-            if out.add(sid, first, _content_id(anchor, content)):
-                yield out.take()
-        yield out.take()
-
-    places = suspects.select("sid", "low", "blob", "marks").mapInArrow(place, "sid long, first int, cid binary")
+    places = suspects.select("sid", F.explode(F.arrays_zip("first", "cid")).alias("x")).select("sid", "x.first", "x.cid")
     gone = places.join(judged, "cid").groupBy("sid").agg(F.collect_list(F.struct("first", "runs")).alias("gone"))
 
     def strip(batches):

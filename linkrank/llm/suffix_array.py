@@ -11,55 +11,50 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, saved, unpacked
 from .repeats import EMPTY, Stretch, Units, repeats
+from .symbols import grams
 
 WINDOW = 200
 BYTES = Units("bytes", WINDOW, 96, 105)
 IN_MEMORY = 64 << 20
 
 
-class Column:
-    """A sequence of bytes that each round reads through once and writes anew: in memory, or in a file if it may become large."""
+class Columns:
+    """Byte sequences that each round reads through once and writes anew: in memory, or in files if they may become large."""
 
-    def __init__(self, total: int, folder: str | None):
-        self.file = tempfile.TemporaryFile(dir=folder) if total > IN_MEMORY else None
-        self.total, self.held = total, np.empty(0, np.uint8)
+    def __init__(self, count: int, total: int):
+        self.external = total > IN_MEMORY
+        self.held = [np.empty(0, np.uint8) for _ in range(count)]
 
-    def merge(self, at: np.ndarray, values: np.ndarray) -> None:
-        """Puts values at places `at` of the new sequence; the rest keeps its order."""
-        n = len(self.held) + len(at)
+    def _empty(self, n: int) -> np.ndarray:
+        if not self.external:
+            return np.empty(n, np.uint8)
+        with tempfile.TemporaryFile() as f:  # the mapping keeps it until the next round
+            f.truncate(max(n, 1))
+            return np.memmap(f, np.uint8, "r+", shape=(max(n, 1),))[:n]
+
+    def merge(self, at: np.ndarray, *values: np.ndarray) -> None:
+        """Puts each sequence's values at places `at` of its new form; the rest keeps its order."""
+        n = len(self.held[0]) + len(at)
         old = np.ones(n, bool)
         old[at] = False
-        if self.file:
-            with tempfile.TemporaryFile() as f:
-                f.truncate(max(n, 1))
-                new = np.memmap(f, np.uint8, "r+", shape=(max(n, 1),))[:n]
-        else:
-            new = np.empty(n, np.uint8)
-        new[old] = self.held
-        new[at] = values
-        self.held = new
-
-
-class RangeMinimum:
-    """Least value of any stretch of a byte sequence, from minima over powers of two."""
-
-    def __init__(self, values: np.ndarray):
-        self.levels = [values]
-        step = 1
-        while 2 * step <= len(values):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-step], last[step:]))
-            step *= 2
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of each values[a:b]; b > a."""
-        level = np.frexp((b - a).astype(np.float64))[1] - 1
-        out = np.empty(len(a), np.uint8)
-        for k in np.unique(level):
-            m = level == k
-            table = self.levels[k]
-            out[m] = np.minimum(table[a[m]], table[b[m] - (1 << int(k))])
-        return out
+        for i, v in enumerate(values):
+            new = self._empty(n)
+            new[old] = self.held[i]
+            new[at] = v
+            self.held[i] = new
+
+
+def range_minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least of each values[a:b], b > a, from minima over powers of two."""
+    out = np.empty(len(a), np.uint8)
+    level = np.frexp((b - a).astype(np.float64))[1] - 1
+    table = values
+    for k in range(int(level.max(initial=-1)) + 1):
+        m = np.flatnonzero(level == k)
+        out[m] = np.minimum(table[a[m]], table[b[m] - (1 << k)])
+        if len(table) > 1 << k:
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    return out
 
 
 def collection_arrays(texts: list[bytes], most: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,44 +67,41 @@ def collection_arrays(texts: list[bytes], most: int = WINDOW) -> tuple[np.ndarra
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     symbols = np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
-    total = int(ends[-1]) + n if n else 0
-    before, common = Column(total, None), Column(total, None)
+    columns = Columns(2, int(ends[-1]) + n if n else 0)
 
     def preceding(who: np.ndarray, length: int) -> np.ndarray:
         at = ends[who] - 1 - length
         return np.where(lengths[who] > length, symbols[np.maximum(at, 0)], 0).astype(np.uint8)
 
-    live = np.arange(n)
-    place = np.arange(n)
-    before.merge(place, preceding(live, 0))
-    common.merge(place, np.zeros(n, np.uint8))
+    live = place = np.arange(n)  # the texts in the order of their last suffixes, and these suffixes' places
+    symbol = preceding(live, 0)
+    counts = np.bincount(symbol, minlength=256)
+    columns.merge(place, symbol, np.zeros(n, np.uint8))
     for length in range(1, int(lengths.max(initial=0)) + 1):
-        keep = lengths[live] >= length
-        live, place = live[keep], place[keep]
-        transform = before.held
-        counts = np.bincount(transform, minlength=256)
+        transform, common = columns.held
+        keep = symbol > 0
+        by = np.argsort(symbol[keep], kind="stable")
+        live, place, symbol = live[keep][by], place[keep][by], symbol[keep][by].astype(np.int64)
         starts = np.concatenate(([0], np.cumsum(counts)))
         order = np.argsort(transform, kind="stable")
-        symbol = transform[place].astype(np.int64)
         rank = np.empty(len(place), np.int64)
-        by = np.argsort(symbol, kind="stable")
-        cut = np.flatnonzero(np.diff(symbol[by], prepend=-1))
-        for a, b in zip(cut, np.append(cut[1:], len(by)), strict=True):
-            s, m = int(symbol[by[a]]), by[a:b]
-            rank[m] = starts[s] + np.searchsorted(order[starts[s] : starts[s + 1]], place[m])
-        least = RangeMinimum(common.held)
-        new = n + rank - counts[0]
-        has_left, has_right = rank > starts[symbol], rank + 1 < starts[symbol + 1]
+        cut = np.flatnonzero(np.diff(symbol, prepend=-1, append=-1))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            first, last = starts[symbol[a]], starts[symbol[a] + 1]
+            rank[a:b] = first + np.searchsorted(order[first:last], place[a:b])
+        has_left, has_right = np.flatnonzero(rank > starts[symbol]), np.flatnonzero(rank + 1 < starts[symbol + 1])
+        low = np.concatenate((order[rank[has_left] - 1], place[has_right])) + 1
+        high = np.concatenate((place[has_left], order[rank[has_right] + 1])) + 1
+        more = np.minimum(range_minima(common, low, high), most - 1) + np.uint8(1)
         left = np.zeros(len(place), np.uint8)
-        m = np.flatnonzero(has_left)
-        left[m] = np.minimum(least(order[rank[m] - 1] + 1, place[m] + 1), most - 1) + 1
-        m = np.flatnonzero(has_right)
-        right = np.minimum(least(place[m] + 1, order[rank[m] + 1] + 1), most - 1) + 1
-        before.merge(np.sort(new), preceding(live, length)[np.argsort(new)])
-        common.merge(np.sort(new), left[np.argsort(new)])
-        common.held[new[m] + 1] = right
-        place = new
-    transform = before.held
+        left[has_left] = more[: len(has_left)]
+        place = n + rank - counts[0]
+        symbol = preceding(live, length)
+        counts += np.bincount(symbol, minlength=256)
+        columns.merge(place, symbol, left)
+        columns.held[1][place[has_right] + 1] = more[len(has_left) :]
+    before, common = columns.held
+    transform = before
     order = np.argsort(transform, kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order)) + n - np.count_nonzero(transform == 0)
@@ -119,7 +111,50 @@ def collection_arrays(texts: list[bytes], most: int = WINDOW) -> tuple[np.ndarra
         owner[place], size[place] = live, length
         keep = lengths[live] > length
         live, place = live[keep], back[place[keep]]
-    return owner, size, common.held
+    return owner, size, common
+
+
+def _neighbour_prefix(group: np.ndarray, data: np.ndarray, at: np.ndarray, step: int, size: np.ndarray) -> np.ndarray:
+    """For rows of `size` bytes read from `at` in direction `step`: the longest prefix that each shares with another of its group."""
+    most = int(size.max(initial=0))
+    if not most:
+        return np.zeros(len(group), np.int64)
+    offset = np.arange(most)
+    rows = np.where(offset < size[:, None], data[np.clip(at[:, None] + step * offset, 0, len(data) - 1)], 0).astype(np.uint8)
+    keyed = np.hstack((group.astype(">u4")[:, None].view(np.uint8), rows))
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel(), kind="stable")
+    rows, size, group = rows[order], size[order], group[order]
+    differ = rows[1:] != rows[:-1]
+    both = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    both = np.where(group[1:] == group[:-1], np.minimum(both, np.minimum(size[1:], size[:-1])), 0)
+    longest = np.zeros(len(group), np.int64)
+    longest[order] = np.maximum(np.append(both, 0), np.concatenate(([0], both)))
+    return longest
+
+
+def trimmed(stretches: list[Stretch]) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where each stretch can have a repeated window. All such windows contain the anchor's gram, so what no other stretch of the anchor shares
+    to its left or right is cut off. Where an anchor stands twice in a stretch, its stretches stay whole."""
+    gram = BYTES.gram
+    sizes = np.array([len(s.content) for s in stretches])
+    first = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(s.content for s in stretches), np.uint8)
+    group = np.unique([s.anchor for s in stretches], return_inverse=True)[1]
+    hashes = grams(data.astype(np.uint16) + 1, gram)
+    bounds = np.column_stack((first, np.minimum(first + sizes - gram + 1, len(hashes) - 1))).ravel()
+    least = np.minimum(np.minimum.reduceat(hashes, bounds)[::2], hashes[np.minimum(first + sizes - gram, len(hashes) - 1)])
+    owner = np.repeat(np.arange(len(stretches)), sizes)[: len(hashes)]
+    place = np.flatnonzero((hashes == least[owner]) & (np.arange(len(hashes)) <= (first + sizes - gram)[owner]))
+    count = np.bincount(owner[place], minlength=len(stretches))
+    at = np.zeros(len(stretches), np.int64)
+    at[owner[place[::-1]]] = place[::-1]
+    own = np.array([s.times for s in stretches]) > 1
+    reach = WINDOW - gram
+    before, after = np.minimum(at - first, reach), np.minimum(first + sizes - at - gram, reach)
+    left = np.where(own, before, _neighbour_prefix(group, data, at - 1, -1, before))
+    right = np.where(own, after, _neighbour_prefix(group, data, at + gram, 1, after))
+    whole = (np.bincount(group, count != 1) > 0)[group]
+    return np.where(whole, 0, at - left - first), np.where(whole, sizes, at + gram + right - first)
 
 
 def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
@@ -130,13 +165,16 @@ def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
         if s.times > 1:
             yield i, [0, s.starts, 0]
     numbers = [i for i, s in enumerate(stretches) if s.anchor in open_anchors]
-    stretches = [stretches[i] for i in numbers]
-    texts = [s.content for s in stretches]
+    if not numbers:
+        return
+    begin, end = trimmed([stretches[i] for i in numbers])
+    held = [(i, a, stretches[i].content[a:b]) for i, a, b in zip(numbers, begin.tolist(), end.tolist(), strict=True) if b - a >= WINDOW]
+    texts = [t for _, _, t in held]
     owner, size, common = collection_arrays(texts)
     window = size >= WINDOW
     same = np.cumsum(common < WINDOW)[window]  # windows with one number are equal
-    owner, start = owner[window], np.array([len(t) for t in texts])[owner[window]] - size[window]
-    times = np.bincount(same, np.array([s.times for s in stretches], float)[owner])
+    owner, start = owner[window], np.array([len(t) for t in texts], np.int64)[owner[window]] - size[window]
+    times = np.bincount(same, np.array([stretches[i].times for i, _, _ in held], float)[owner])
     twice = times[same] >= 2
     owner, start = owner[twice], start[twice]
     if not len(owner):
@@ -146,8 +184,9 @@ def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
     new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
     runs: dict[int, list[int]] = {}
     for a, b in zip(new.tolist(), np.append(new[1:], len(start)).tolist(), strict=True):
-        if stretches[owner[a]].times < 2:
-            runs.setdefault(numbers[owner[a]], []).extend((int(start[a]), int(start[a]) + b - a, 0))
+        i, shift, _ = held[owner[a]]
+        if stretches[i].times < 2:
+            runs.setdefault(i, []).extend((int(start[a]) + shift, int(start[a]) + shift + b - a, 0))
     yield from runs.items()
 
 
