@@ -14,7 +14,8 @@ from .repeats import LAST
 from .symbols import SPACED_FOLDED, grams, words
 
 BUCKET_BITS = 17
-BLOCK = 1024  # documents of a group that are compared with each other in one task
+POSTINGS = 1 << 21
+BLOCK = 512  # documents of a group that are compared with each other in one task
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("key", pa.binary()), ("lead", pa.bool_()), ("prefix", pa.list_(pa.int64()))])
 SETS_DDL = "doc_id long, n long, sig binary, key binary, lead boolean, prefix array<long>"
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -31,6 +32,11 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def least_common(num: int, den: int) -> int:
+    """How many shingles of their prefixes two linked but unequal sets are asked to share: their overlap is at least t / (1 - t)."""
+    return max(1, min(4, -(-num // max(1, den - num))))
+
+
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """How often shingles fall into each of 2**BUCKET_BITS hash buckets, over all documents: a table of fixed size. It orders
     shingles by rarity; any order gives the same links, and a good one few candidates."""
@@ -58,7 +64,8 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """A row per document with its set's size, signature and prefix: its rarest shingles, of which any linked set shares one."""
+    """A row per document with its set's size, signature and prefix: its rarest shingles, of which any linked set shares least_common() at least."""
+    spare = least_common(num, den)
     order = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def scan(batches):
@@ -70,7 +77,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             if lead:
                 seen.add(sig)
                 rare = np.lexsort((s, order.value[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
-                prefix = s[rare[: len(s) - least_overlap(len(s), num, den) + 1]].view(np.int64)
+                prefix = s[rare[: len(s) - least_overlap(len(s), num, den) + spare]].view(np.int64)
             if out.add(doc, len(s), sig, text_key((text or "").encode()), lead, prefix, weight=200 + 8 * len(prefix)):
                 yield out.take()
         yield out.take()
@@ -78,25 +85,41 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, SETS_DDL)
 
 
-def _visits(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(gid, sid, role): the group in which each candidate set lives (role 0), and those that it has to query (role 1).
-
-    A set's home is its most common shared prefix shingle, so that similar sets meet. The matrix has a row for each shingle and home that go
-    together; a set queries the homes in its shingles' rows that come before its own, as the other side covers the rest. A home with
-    many sets is split into blocks; a set queries the earlier blocks of its own home and all of others."""
-    spread = sets.filter("lead").select(F.xxhash64("sig").alias("k"), F.explode("prefix").alias("token")).distinct()
-    common = saved(spread.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("df")).filter("a != b").select("token", "df"))
-    shared = saved(spread.join(common, "token"))
-    homes = shared.groupBy("k").agg(F.max(F.struct("df", "token"))["token"].alias("home"))
+def _visits(sets: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """(gid, key, sid, role): the group in which each candidate set lives (role 0), and those that it has to query (role 1).
+
+    Sets with fewer shared prefix shingles than any link needs are left out. A set's home is its most common shared one, so that similar
+    sets meet. The matrix has a row for each shingle and home that go together, with the sizes of its sets; a set queries the homes in its shingles' rows
+    that come before its own, as the other side covers the rest, and only where enough rows allow a link: neither size may be below
+    the similarity times the other, and the first shingle must stand early enough in the prefix for the overlap to be reached. A home
+    with many sets is split into blocks; a set queries the earlier blocks of its own home and all of others."""
+    need = least_common(num, den)
+    spread = sets.filter("lead").select(F.xxhash64("sig").alias("k"), "n", F.posexplode("prefix").alias("pos", "token"))
+    small, large = F.min("n").alias("small"), F.max("n").alias("large")
+    common = spread.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("df"), small, large)
+    common = common.filter("a != b").filter((F.col("df") > 2) | (F.col("small") * den >= F.col("large") * num))
+    shared = saved(spread.join(saved(common.select("token", "df")), "token"))
+    enough = shared.groupBy("k").agg(F.count_distinct("token").alias("c"), F.max(F.struct("df", "token"))["token"].alias("home")).filter(F.col("c") >= need)
+    homes = saved(enough.select("k", "home"))
+    shared = saved(shared.join(homes, "k"))
     sizes = saved(homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     homes = saved(homes.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")))
     lives = homes.select("k", "home", "block", F.lit(0).alias("role"))
-    matrix = shared.join(homes.select("k", "home"), "k").select("token", "home").distinct().join(sizes, "home").withColumnsRenamed({"home": "other", "blocks": "others"})
-    asks = shared.select("token", "k").join(saved(matrix), "token").select("k", "other", "others").distinct().join(homes, "k").filter(F.col("other") <= F.col("home"))
+    matrix = shared.groupBy("token", F.col("home").alias("other")).agg(small, large)
+    matrix = saved(matrix.join(sizes.withColumnsRenamed({"home": "other", "blocks": "others"}), "other"))
+    n = F.col("n")
+    partner = F.greatest(F.col("small"), F.ceil(n * num / den).cast("long"))  # the least size that could link
+    early = (n - F.col("pos")) * (num + den) >= (n + partner) * num
+    asks = shared.join(matrix, "token").filter((F.col("other") <= F.col("home")) & (partner <= F.col("large")) & (F.col("small") * num <= n * den))
+    asks = asks.groupBy("k", "other", "others").agg(F.count_distinct("token").alias("c"), F.max(early).alias("early")).filter((F.col("c") >= need) & F.col("early"))
+    asks = asks.select("k", "other", "others").join(homes, "k")
     last = F.when(F.col("other") == F.col("home"), F.col("block")).otherwise(F.col("others"))
     asks = asks.filter(last > 0).select("k", F.col("other").alias("home"), F.explode(F.sequence(F.lit(0), last - 1)).alias("block"), F.lit(1).alias("role"))
     gid = F.xxhash64("home", "block").alias("gid")  # groups that fall together by chance only compare more
-    return texts.select("sid", "key", F.xxhash64("sig").alias("k")).join(lives.unionByName(asks), "k").select(gid, "sid", "key", "role")
+    visits = texts.select("sid", "key", F.xxhash64("sig").alias("k")).join(lives.unionByName(asks), "k").select(gid, "sid", "key", "role")
+    visits = saved(visits)
+    met = visits.groupBy("gid").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("gid")
+    return saved(visits.join(saved(met), "gid"))  # a set alone in its group has nothing to compare there
 
 
 def _overlaps(queries: list[np.ndarray], members: list[np.ndarray], union: np.ndarray) -> np.ndarray:
@@ -112,12 +135,20 @@ def _overlaps(queries: list[np.ndarray], members: list[np.ndarray], union: np.nd
     qf = np.bincount(qc, minlength=len(union))
     used = np.flatnonzero((df > 0) & (qf > 0))
     out = np.zeros((len(queries), len(members)), np.float32)
-    if (df[used] * qf[used]).sum() < len(queries) * len(members) * len(used) / 30:
+    if len(qc) and (df[used] * qf[used]).sum() < len(queries) * len(members) * len(used) / 30:
         order = np.argsort(mc, kind="stable")
         start, who = np.concatenate(([0], np.cumsum(df))), mo[order]
         n = df[qc]
-        place = np.repeat(start[qc] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(np.repeat(qo, n) * len(members) + who[place], minlength=out.size).reshape(out.shape)
+        steps = np.cumsum(n) // POSTINGS  # a bounded number of postings at a time
+        for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.flatnonzero(np.diff(steps, prepend=-1, append=steps[-1:] + 1))), strict=True):
+            m, o, c = n[a:b], qo[a:b], qc[a:b]
+            place = np.repeat(start[c] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            first, last = int(o[0]), int(o[-1]) + 1
+            pairs = np.bincount((np.repeat(o, m) - first) * len(members) + who[place], minlength=(last - first) * len(members))
+            out[first:last] += pairs.reshape(last - first, -1)
+        return out
+    if not len(used):
+        return out
     column = np.full(len(union), -1)
     column[used] = np.arange(len(used))
     mc, qc = column[mc], column[qc]
@@ -177,7 +208,7 @@ def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den:
 
 def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b) of sids: enough of the links to connect all that are linked."""
-    visits = saved(_visits(sets, texts))
+    visits = _visits(sets, texts, num, den)
 
     def blobs(batches):
         out, seen = Rows(pa.schema([("key", pa.binary()), ("blob", pa.binary())])), set()
