@@ -16,11 +16,17 @@ from ..scratch import saved, scratch_dir
 
 __all__ = ["Rows", "packed", "parts", "rows_of", "saved", "scratch_dir", "ship", "text_key", "unpacked"]
 
+BATCH_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in Python workers, wherever they run; once a session."""
+    """Makes the package importable in Python workers, wherever they run, and keeps the Arrow batches between them and the JVM small:
+    ten thousand texts a batch, the default, are held several times over. Once a session."""
     import linkrank
 
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
     context = spark.sparkContext
     if getattr(context, "_linkrank_shipped", None) is None:
         root = Path(next(iter(linkrank.__path__)))
@@ -40,7 +46,9 @@ def parts(spark: SparkSession) -> int:
 def rows_of(batches, *names):
     """Python tuples of the named columns, one at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
 class Rows:
