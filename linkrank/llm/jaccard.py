@@ -299,16 +299,16 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     at, ident = "__linkrank_key", "__linkrank_id"
     found = saved(similar_documents(docs.select("doc_id", "text"), k, num, den).filter("n_shingles > 0"))
     same = found.withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
-    best = same.groupBy(F.coalesce("component_id", F.lit(LAST)).alias("c"), F.when(F.col("component_id").isNull(), F.col("key")).alias("own")).agg(F.min(F.struct("id", "key")).alias("best"), F.count(F.lit(1)).alias("size"))
-    best = saved(best.select(F.col("best.key").alias("bkey"), F.col("best.id").alias("bid"), "size"))
+    best = same.groupBy(F.coalesce("component_id", F.lit(LAST)).alias("c"), F.when(F.col("component_id").isNull(), F.col("key")).alias("own")).agg(F.min(F.struct("id", "key")).alias("best"))
+    best = saved(best.select(F.col("best.key").alias("__linkrank_k"), F.col("best.id").alias("__linkrank_i")))
     keyed = docs.withColumn(at, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))).withColumn(ident, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    worded = keyed.join(best.select("bkey", "bid"), (F.col(at) == F.col("bkey")) & (F.col(ident) == F.col("bid")), "left_semi")
-    copies = saved(same.groupBy("id", "key").count().filter("count > 1").select("id", "key"))
+    both = (F.col(at) == F.col("__linkrank_k")) & (F.col(ident) == F.col("__linkrank_i"))
+    worded = keyed.join(best, both, "left_semi")
+    copies = saved(same.groupBy("id", "key").count().filter("count > 1").select(F.col("key").alias("__linkrank_k"), F.col("id").alias("__linkrank_i")))
     if copies.limit(1).count():  # rows that agree in doc_id and text: the others need no pass over whole texts
-        both = (F.col(at) == F.col("key")) & (F.col(ident) == F.col("id"))
         again = worded.join(copies, both, "left_semi").dropDuplicates([at, ident])
         worded = worded.join(copies, both, "left_anti").unionByName(again)
-    wordless = keyed.join(saved(same.select("key").distinct()), F.col(at) == F.col("key"), "left_anti")
+    wordless = keyed.join(saved(same.select(F.col("key").alias("__linkrank_k")).distinct()), F.col(at) == F.col("__linkrank_k"), "left_anti")
     return worded.unionByName(wordless).drop(at, ident)
 
 

@@ -58,22 +58,21 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> Da
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each size, and each bin's fill. Longest first; a size goes where the sum, over gaps above 0, of the squared number
-    of open bins with that gap becomes smallest, with ties to the smallest gap. Equal sizes are placed in their order."""
+    """Bin and offset of each size, and each bin's fill. Longest first; of the open bins with room, a size goes to one that makes the sum, over
+    gaps above 0, of the squared number of open bins with that gap smallest, with ties to the smallest gap; a new bin is opened only where none has
+    room. Equal sizes are placed in their order."""
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, fill = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), []
     for i in np.argsort(-sizes, kind="stable"):
         s = int(sizes[i])
-        best, gap = 2 * count[capacity - s] + 1 if s < capacity else 0, capacity
-        here = count[s:capacity]
-        delta = 2 * (count[: capacity - s] - here) + 2
-        if len(delta):
+        gap, here = capacity, count[s:capacity]
+        if here.any():
+            delta = count[: capacity - s] - here  # half of what the sum of squares gains, less one
+            delta = 2 * delta + 2
             delta[0] = 1 - 2 * here[0]
             delta[here == 0] = np.iinfo(np.int64).max
-            g = int(delta.argmin())
-            if delta[g] <= best:
-                gap = g + s
+            gap = s + int(delta.argmin())
         if gap == capacity:
             b = len(fill)
             fill.append(0)

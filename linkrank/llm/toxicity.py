@@ -206,8 +206,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    """The documents that aren't predicted toxic, with all their columns. Where the labels fit no model, all stay."""
+    fitted = fit(docs, labels)
+    if fitted.weights is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def clean(batches):
         for batch in batches:
