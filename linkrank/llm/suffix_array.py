@@ -14,7 +14,7 @@ from .repeats import EMPTY, Stretch, Units, repeats
 from .symbols import grams
 
 WINDOW = 200
-BYTES = Units("bytes", WINDOW, 96, 105)
+BYTES = Units("bytes", WINDOW, 96, 105, (16, 1))
 IN_MEMORY = 64 << 20
 
 

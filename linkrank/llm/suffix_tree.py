@@ -12,7 +12,7 @@ from .repeats import EMPTY, LAST, Stretch, Units, repeats
 from .symbols import SPACED, words
 
 WINDOW = 50
-WORDS = Units("words", WINDOW, 20, 32)
+WORDS = Units("words", WINDOW, 20, 32, (8, 1))
 GROUP = 40_000  # suffixes whose subtree is built at a time
 
 

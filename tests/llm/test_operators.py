@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
-from linkrank.llm import decontamination, jaccard, media, packing, sharding, suffix_array, suffix_tree, toxicity, warc
+from linkrank.llm import decontamination, jaccard, media, packing, repeats, sharding, suffix_array, suffix_tree, toxicity, warc
 from linkrank.llm.common import scratch_dir, ship
 from linkrank.llm.queries import QUERIES
 
@@ -126,6 +126,20 @@ def test_suffix_array(spark, tables):
     assert rows(QUERIES["op9_suffix_array_dedup"](spark, tables["full"])) == sorted(brute.bytes_left(DOCS), key=repr)
 
 
+@pytest.mark.parametrize("crowd", [1, 6])
+def test_crowded_anchors_are_dealt_out(spark, tables, monkeypatch, crowd):
+    """Passages among many surroundings, cut at many places, and periodic texts: the finer groups give what one would."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    r = random.Random(5)
+    words = prose(160, r).split()
+    docs = [(i, f"{prose(r.randint(0, 30), r)} {' '.join(words[r.randint(0, 60) : 160 - r.randint(0, 60)])}{r.choice(' \n')}{prose(r.randint(0, 30), r)}") for i in range(60)]
+    docs += [(100 + i, prose(i, r) + " " + "ab  cd " * (40 + i)) for i in range(8)] + DOCS[::2]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    d.write.parquet(f"{(path := scratch_dir(spark))}/documents.parquet")
+    assert rows(QUERIES["op9_suffix_array_dedup"](spark, path)) == sorted(brute.bytes_left(docs), key=repr)
+    assert rows(QUERIES["op5_substring_dedup"](spark, path)) == sorted(brute.words_left(docs), key=repr)
+
+
 def test_text_without_repeats_keeps_whole_characters(spark, tables):
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
     left = suffix_array.without_repeats(docs).collect()
