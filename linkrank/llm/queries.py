@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, jaccard, media, packing, sharding, suffix_array, suffix_tree, toxicity, warc
+from . import decontamination, jaccard, media, packing, quality, sharding, suffix_array, suffix_tree, toxicity, warc
 from .common import ship
 
 OPERATORS = {
@@ -11,6 +11,7 @@ OPERATORS = {
     "op5_substring_dedup": suffix_tree.op5,
     "op6_media_chunks": media.op6,
     "op7_feistel_sharding": sharding.op7,
+    "op8_quality": quality.op8,
     "op9_suffix_array_dedup": suffix_array.op9,
     "op10_warc_transactions": warc.op10,
 }

@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
-from linkrank.llm import decontamination, jaccard, media, packing, repeats, sharding, suffix_array, suffix_tree, toxicity, warc
+from linkrank.llm import decontamination, jaccard, media, packing, quality, repeats, sharding, suffix_array, suffix_tree, toxicity, warc
 from linkrank.llm.common import scratch_dir, ship
 from linkrank.llm.queries import QUERIES
 
@@ -298,6 +298,102 @@ def test_toxicity_without_labels(spark, tables):
     assert len(got) == len(DOCS) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_rates(rows):
+    """Posterior rates of (site, path, y) rows, each without itself, from plain sums."""
+    members, total = {}, [y for _, _, y in rows if y is not None]
+    for s, p, y in rows:
+        if s is not None and y is not None:
+            members.setdefault(s, {}).setdefault(p, []).append(y)
+    sites = {s: [y for v in d.values() for y in v] for s, d in members.items()}
+    mean = lambda v: sum(v) / len(v)
+    inside = [v for d in members.values() for v in d.values()]
+
+    def strength(groups, parents):
+        """groups: (values, values of the parent)."""
+        k, n = len(groups), sum(len(v) for v, _ in groups)
+        if n <= k or k <= parents:
+            return quality.MOST
+        within = sum((y - mean(v)) ** 2 for v, _ in groups for y in v) / (n - k)
+        between = sum(len(v) * (mean(v) - mean(u)) ** 2 for v, u in groups)
+        outer = (between - (k - parents) * within) / (n - sum(len(v) ** 2 / len(u) for v, u in groups))
+        return min(max(within / outer, quality.LEAST), quality.MOST) if outer > 0 else quality.MOST
+
+    everyone = [y for v in sites.values() for y in v]
+    over = strength([(v, everyone) for v in sites.values()], 1)
+    under = strength([(v, sites[s]) for s, d in members.items() for v in d.values()], len(sites))
+    assert sum(map(len, inside)) == len(everyone)
+    out = []
+    for s, p, y in rows:
+        own, n = (y or 0, 1) if y is not None else (0, 0)
+        g = (sum(total) - own + 0.5) / (len(total) - n + 1)
+        v, w = sites.get(s, []), members.get(s, {}).get(p, [])
+        own, n = (own, n) if s is not None else (0, 0)
+        site = (sum(v) - own + over * g) / (len(v) - n + over)
+        out.append((site, (sum(w) - own + under * site) / (len(w) - n + under)))
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_quality_posteriors(spark, monkeypatch, most):
+    """Broadcast or by shuffle: rates of sites and paths as plain sums give them, without the row itself."""
+    monkeypatch.setattr(quality, "IN_BROADCAST", most)
+    r = random.Random(8)
+    data = []
+    for i in range(400):
+        s = None if i % 40 == 0 else f"s{min(r.randrange(12), 6)}"
+        p = None if s is None else f"p{r.randrange(3)}"
+        good = 0.2 + 0.1 * int(s[1:]) + 0.1 * int(p[1:]) if s else 0.5
+        data.append((i, s, p, None if i % 17 == 0 else float(r.random() < good) if i % 3 else r.random()))
+    got = {x["doc_id"]: x for x in quality.posteriors(spark.createDataFrame(data, "doc_id long, site string, path string, y double").repartition(3)).collect()}
+    assert len(got) == len(data)
+    for (i, *_), (site, path) in zip(data, plain_rates([x[1:] for x in data]), strict=True):
+        assert got[i]["site_rate"] == pytest.approx(site) and got[i]["path_rate"] == pytest.approx(path)
+    assert max(x["path_rate"] for x in got.values()) - min(x["path_rate"] for x in got.values()) > 0.2
+
+
+def test_quality_on_held_out_rows(spark):
+    r = random.Random(12)
+    docs, labels, truth = [], [], {}
+    for i in range(1500):
+        site = r.randrange(6)
+        good = r.random() < (0.3 if site == 0 else 0.9)
+        text = prose(r.randint(20, 120), r)
+        if not good:
+            text = r.choice([text.upper(), text.replace(" ", " | "), " ".join(w for w in text.split()[:6] for _ in range(15))])
+        docs.append((i, text, f"https://Site{site}.example/{'ab'[i % 2]}/x{i}", "en"))
+        truth[i] = int(good)
+        if i % 3:
+            labels.append((i, int(good)))
+    docs += [(5000, None, "site0.example", "en"), (5001, " ", "site3.example", "en"), (None, prose(50, r), None, None), (0, *docs[0][1:])]
+    schema = "doc_id long, text string, source string, lang string"
+    d, lab = spark.createDataFrame(docs, schema).repartition(3), spark.createDataFrame([*labels, (None, 0), (7, None)], "doc_id long, quality int")
+    rows_out = quality.quality(d, lab).collect()
+    got = {x["doc_id"]: x for x in rows_out}
+    assert len(rows_out) == len(docs) and got[None]["held_out"] and got[None]["predicted"] == 1
+    held = [i for i in truth if got[i]["held_out"]]
+    assert held == [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i]["predicted"] == truth[i] for i in held) >= 0.97 * len(held)
+    low, high = ([x["site_rate"] for x in rows_out if x["doc_id"] is not None and x["doc_id"] < 1500 and (docs[x["doc_id"]][2].startswith("https://Site0.")) == bad] for bad in (True, False))
+    assert max(low) < 0.5 < 0.8 < min(high) and got[5000]["score"] < got[5001]["score"]
+
+
+def test_quality_learns_from_every_label_but_held_out_ones(spark, tables):
+    """A label in the held-out fold changes nothing; the site and first directory of a URL, or else the name and the language, are its groups."""
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
+    held = next(i for i, _ in DOCS if i is not None and zlib.crc32(str(i).encode()) % 5 == 0)
+    scores = [rows(quality.quality(docs, spark.createDataFrame([*((i, i % 2) for i in range(50) if i != held), *extra], "doc_id long, quality int")), "doc_id", "score") for extra in ([], [(held, 0)], [(held, 1)])]
+    assert [x[0] for x in scores[0]] == [x[0] for x in scores[1]] and len(scores[0]) == len(DOCS)
+    assert all(a[1] == pytest.approx(b[1]) == pytest.approx(c[1]) for a, b, c in zip(*scores, strict=True))
+    named = spark.createDataFrame([("HTTP://A.b:80/de/x/1?q=/", "en"), ("A.b/de", "en"), ("src1", None), (" ", "en"), (None, "en"), ("a.b?x=/y/", "fr")], "source string, lang string")
+    site, path = quality.site_and_path(named["source"], named["lang"])
+    assert [tuple(r) for r in named.select(site, path).collect()] == [("a.b:80", "de"), ("a.b", "en"), ("src1", ""), (None, None), (None, None), ("a.b", "fr")]
+
+
+def test_quality_with_labels_of_one_kind(spark, tables):
+    got = QUERIES["op8_quality"](spark, tables["full"]).collect()
+    assert len(got) == len(DOCS) and all(0 <= r["score"] <= 1 for r in got)
+
+
 @pytest.mark.parametrize("which", ["full", "empty"])
 def test_pipeline(spark, tables, which):
     import corpus_pipeline
