@@ -278,9 +278,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, key (of the text), n_shingles, component_id (the smallest doc_id that links lead to).
+    """docs(doc_id, text) -> doc_id, key (of the text), n_shingles, component_id (the smallest doc_id that links lead to), root.
     Documents link when den * intersection >= num * union of their shingle sets. Equal sets are one node, so copies
-    cost nothing; documents without words link with nothing; null doc_ids are larger than others, and alone keep a null component."""
+    cost nothing; documents without words link with nothing; null doc_ids are larger than others, and alone keep a null component. Where ids
+    repeat or are null, only the root tells components apart; it is null without words."""
     sets = saved(_sets(docs, k, num, den))
     low = F.min(F.coalesce("doc_id", F.lit(LAST)))
     texts = saved(sets.filter("n > 0").groupBy("sig").agg(low.alias("low"), F.min("key").alias("key")).withColumn("sid", F.monotonically_increasing_id()))
@@ -288,9 +289,9 @@ def similar_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
     named = texts.join(roots, F.col("sid") == F.col("node"), "left").select("sig", "low", F.coalesce("root", "sid").alias("root"))
     named = saved(named)
     leasts = saved(named.groupBy("root").agg(F.min("low").alias("component")))
-    named = saved(named.join(leasts, "root").select("sig", "component"))
+    named = saved(named.join(leasts, "root").select("sig", "component", "root"))
     joined = sets.select("doc_id", "n", "sig", "key").join(named, "sig", "left")
-    return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.nullif(F.col("component"), F.lit(LAST))).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.nullif(F.col("component"), F.lit(LAST))).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -299,7 +300,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     at, ident = "__linkrank_key", "__linkrank_id"
     found = saved(similar_documents(docs.select("doc_id", "text"), k, num, den).filter("n_shingles > 0"))
     same = found.withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
-    best = same.groupBy(F.coalesce("component_id", F.lit(LAST)).alias("c"), F.when(F.col("component_id").isNull(), F.col("key")).alias("own")).agg(F.min(F.struct("id", "key")).alias("best"))
+    best = same.groupBy("root").agg(F.min(F.struct("id", "key")).alias("best"))
     best = saved(best.select(F.col("best.key").alias("__linkrank_k"), F.col("best.id").alias("__linkrank_i")))
     keyed = docs.withColumn(at, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))).withColumn(ident, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     both = (F.col(at) == F.col("__linkrank_k")) & (F.col(ident) == F.col("__linkrank_i"))

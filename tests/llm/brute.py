@@ -61,6 +61,25 @@ def components(docs, k, num, den):
     return [(i, len(sets[a]), None if least[find(a)] == LAST else least[find(a)]) for a, (i, _) in enumerate(docs)]
 
 
+def one_of_each(docs, k, num, den):
+    """Rows that stay: those without words, and of what links lead together the least by doc_id, nulls last, and digest."""
+    sets = []
+    for _, t in docs:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[j : j + k]) for j in range(max(len(w) - k + 1, 1))} if w else set())
+    group = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if o and den * o >= num * (len(sets[a]) + len(sets[b]) - o) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    least, out = {}, [d for d, s in zip(docs, sets, strict=True) if not s]
+    for d, s, g in zip(docs, sets, group, strict=True):
+        if s:
+            least[g] = min(least.get(g, (LAST + 1,)), (LAST if d[0] is None else d[0], sha(d[1].encode()), d), key=lambda x: x[:2])
+    return out + [x[2] for x in least.values()]
+
+
 def words_left(docs, size=50):
     least = {}
     texts = [(LAST if i is None else i, (t or "").encode().split()) for i, t in docs]

@@ -112,6 +112,20 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 0, 2, 9] and {r["key"] for r in kept} >= {4, 5, 6}
 
 
+def test_one_of_each_where_ids_repeat_or_are_null(spark, tables):
+    """Two unlinked texts under one doc_id that is least for both stay both; of near copies without any doc_id one stays."""
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
+    got = rows(jaccard.one_of_each(docs), "doc_id", "text")
+    assert got == sorted(brute.one_of_each(DOCS, 5, 80, 100), key=repr) and len([t for i, t in got if i == 3]) == 2
+    r = random.Random(21)
+    base, other = prose(200, r), prose(200, r)
+    made = [(1, base), (1, other), (2, f"{base} end"), (3, f"{other} end")]
+    near = prose(200, r)
+    made += [(None, near), (None, f"{near} more"), (None, f"start {near}"), (None, near), (None, prose(60, r))]
+    got = rows(jaccard.one_of_each(spark.createDataFrame(made, "doc_id long, text string").repartition(3)))
+    assert got == sorted(brute.one_of_each(made, 5, 80, 100), key=repr) and [i for i, _ in got].count(1) == 2 and [i for i, _ in got].count(None) == 2
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (499, 500)], "a long, b long")
     got = {r["node"]: r["root"] for r in jaccard.components(edges).collect()}
