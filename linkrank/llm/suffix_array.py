@@ -120,7 +120,7 @@ def _neighbour_prefix(group: np.ndarray, data: np.ndarray, at: np.ndarray, step:
     if not most:
         return np.zeros(len(group), np.int64)
     offset = np.arange(most)
-    rows = np.where(offset < size[:, None], data[np.clip(at[:, None] + step * offset, 0, len(data) - 1)], 0).astype(np.uint8)
+    rows = np.where(offset < size[:, None], data[np.clip(at[:, None] + step * offset, 0, len(data) - 1)] + np.uint8(1), 0).astype(np.uint8)  # UTF-8 has no byte 255
     keyed = np.hstack((group.astype(">u4")[:, None].view(np.uint8), rows))
     order = np.argsort(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel(), kind="stable")
     rows, size, group = rows[order], size[order], group[order]

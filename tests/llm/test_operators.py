@@ -154,6 +154,35 @@ def test_crowded_anchors_are_dealt_out(spark, tables, monkeypatch, crowd):
     assert rows(QUERIES["op5_substring_dedup"](spark, path)) == sorted(brute.words_left(docs), key=repr)
 
 
+def test_neighbour_prefix_tells_padding_from_nul_bytes():
+    """A short row that padding would make equal to longer ones does not come between two that agree further."""
+    r = random.Random(31)
+    for _ in range(200):
+        texts = [bytes(r.choice(b"\0\0\0a") for _ in range(r.randint(1, 9))) for _ in range(r.randint(2, 7))]
+        group = np.array([r.randrange(2) for _ in texts])
+        sizes = np.array([len(t) for t in texts])
+        first = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        shared = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+        for step, at, read in ((1, first, texts), (-1, first + sizes - 1, [t[::-1] for t in texts])):
+            got = suffix_array._neighbour_prefix(group, data, at, step, sizes).tolist()
+            assert got == [max((shared(x, y) for j, y in enumerate(read) if j != i and group[j] == group[i]), default=0) for i, x in enumerate(read)]
+
+
+@pytest.mark.parametrize("crowd", [1, 1024])
+def test_suffix_array_with_runs_of_nul(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    r = random.Random(32)
+    core = prose(30, r)[:105]
+    docs = []
+    for i in range(60):
+        left, right = (prose(40, random.Random(40 + i % 2))[:60] + "\0" * r.randint(0, 120), "\0" * r.randint(0, 120) + prose(40, random.Random(50 + i % 3))[:60])
+        docs.append((i, left + core + right))
+    docs += [(100 + i, core + "\0" * (95 + i)) for i in range(4)] + [(200 + i, "\0" * (40 + i) + core + "\0" * 80) for i in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{(path := scratch_dir(spark))}/documents.parquet")
+    assert rows(QUERIES["op9_suffix_array_dedup"](spark, path)) == sorted(brute.bytes_left(docs), key=repr)
+
+
 def test_text_without_repeats_keeps_whole_characters(spark, tables):
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
     left = suffix_array.without_repeats(docs).collect()
