@@ -103,3 +103,21 @@ def bytes_left(docs, size=200):
         spans = sum(g and not p for g, p in zip(gone, [False, *gone], strict=False))
         out.append((i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
     return out
+
+
+def texts_left(docs, size=200):
+    """Texts without the bytes of windows that stand twice; a character of which a byte goes, goes whole."""
+    seen = Counter(b[s : s + size] for _, t in docs for b in [(t or "").encode()] for s in range(len(b) - size + 1))
+    out = []
+    for i, t in docs:
+        if t is not None:
+            b = t.encode()
+            gone, at, kept = covered(len(b), [s for s in range(len(b) - size + 1) if seen[b[s : s + size]] > 1], size), 0, []
+            for c in t:
+                n = len(c.encode())
+                if not any(gone[at : at + n]):
+                    kept.append(c)
+                at += n
+            t = "".join(kept)
+        out.append((i, t))
+    return out

@@ -455,3 +455,50 @@ def test_pipeline(spark, tables, which):
     assert out.columns[:2] == ["doc_id", "piece"] and (out.count() > 0) == (which == "full")
     if which == "full":
         assert sizes[1] == sizes[0] and sizes[2] < sizes[1] and sizes[4] < sizes[3]
+
+
+def test_pipeline_stages_keep_the_right_rows(spark, tmp_path):
+    """With labels that fit a model: each stage's rows, ids and texts, and the packed result, against plain forms."""
+    import corpus_pipeline
+
+    r = random.Random(61)
+    vile = ["vilest", "scoundrel", "blackguard"]
+    docs = []
+    for i in range(600):
+        text = prose(r.randint(20, 60), r).split()
+        if i % 4 == 0:
+            for _ in range(4):
+                text.insert(r.randrange(len(text)), r.choice(vile))
+        docs.append((i, " ".join(text)))
+    base, passage, item = prose(90, r), "é" + prose(60, r), prose(30, r)
+    docs += [(700, base), (701, f"{base} end"), (702, base), (702, prose(40, r)), (703, f"{prose(50, r)} {passage} {prose(50, r)}"), (704, f"{prose(50, r)} É{passage} {prose(50, r)}")]
+    docs += [(710, f"{prose(30, r)} {' '.join(item.split()[5:17])} {prose(30, r)}"), (711, ""), (712, None), (None, prose(30, r))]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(600) if i % 3]
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(i, t, "en", f"src{i}", None if t is None else len(t)) for i, t in docs], SCHEMA, "documents")
+    write(labels, "doc_id long, quality int, toxic int", "labels")
+    write([(1, item)], "item_id long, text string", "benchmark")
+    model = toxicity.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert model.weights is not None
+    ordinary = [d for d in docs if model.score(d[1]) < 0.5]
+    bad = [d for d in docs if d[0] is not None and d[0] < 600 and d[0] % 4 == 0]
+    assert sum(d in ordinary for d in bad) <= 0.03 * len(bad) and sum(d in ordinary for d in docs if d not in bad) >= 0.97 * (len(docs) - len(bad))
+    single = brute.one_of_each(ordinary, 5, 80, 100)
+    left = brute.texts_left(single)
+    dirty = {i for i, *_, hit in brute.contamination(left, [(1, item)]) if hit}
+    clean = [d for d in left if d[0] not in dirty]
+    wanted = {"toxicity": ordinary, "near_duplicates": single, "repeated_passages": left, "decontamination": clean}
+    assert len(docs) > len(ordinary) > len(single) and left != single and len(clean) < len(left) == len(single) and dirty == {710}
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = scratch_dir(spark)
+        stage(spark, at, str(tmp_path)).write.parquet(path)
+        at = spark.read.parquet(path)
+        assert rows(at, "doc_id", "text") == sorted(wanted[name], key=repr), name
+        assert all(x["source"] == f"src{x['doc_id']}" for x in at.collect())
+        assert all(x["n_chars"] == (None if x["text"] is None else len(x["text"])) for x in at.collect())
+    encode, pieces = packing.encoder(packing.tokenizer_path()), []
+    for i, t in clean:
+        ids = np.append(encode(t or ""), 0).astype("<u4")
+        pieces += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cuts(len(ids), 2048))]
+    assert sorted((tuple(x)[:5] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr) == sorted(pieces, key=repr)
