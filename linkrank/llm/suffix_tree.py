@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import EMPTY, LAST, Stretch, Units, repeats
-from .symbols import SPACED, words
 
 WINDOW = 50
 WORDS = Units("words", WINDOW, 20, 32, (8, 1))
@@ -39,38 +38,68 @@ def prefix_groups(symbols: np.ndarray, starts: np.ndarray, depth: int, limit: in
             yield length, part
 
 
-def deep_nodes(symbols: np.ndarray, starts: np.ndarray, length: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The subtree below one prefix, as its leaves in order and the branching depth before each, cut at `depth`: returns the leaves and, for
-    each, the number of its node of that depth."""
-    if length == depth:
-        return starts, np.zeros(len(starts), np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(symbols, depth - length)[starts + length].astype(">u4")
-    order = np.argsort(rows.view(f"V{4 * (depth - length)}").ravel(), kind="stable") if len(rows) else np.empty(0, np.int64)
-    rows = rows[order]
-    branch = np.ones(len(rows), bool)
-    branch[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-    return starts[order], np.cumsum(branch) - 1
+def subtree(symbols: np.ndarray, leaves: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix tree below one prefix of `length` symbols, as its leaves in order and the branching depth between each and the one before it (0 for
+    the first). The suffix from leaves[i] ends before stops[i], its text's end; a suffix that another one begins with stands before it."""
+    sizes = stops - leaves - length
+    width = int(sizes.max(initial=0))
+    offset = np.arange(width)
+    rows = np.where(offset < sizes[:, None], symbols[np.minimum(leaves[:, None] + length + offset, len(symbols) - 1)] + 1, 0).astype(">u4")
+    order = np.argsort(np.ascontiguousarray(rows).view(f"V{4 * width}").ravel(), kind="stable") if width else np.arange(len(leaves))
+    rows, sizes = rows[order], sizes[order]
+    differ = rows[1:] != rows[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if width else np.zeros(len(leaves) - 1, np.int64)
+    return leaves[order], np.concatenate(([0], length + np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))))
+
+
+def maximal_repeats(leaves: np.ndarray, depths: np.ndarray, before: np.ndarray, lows: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, leaves, low) of the internal nodes of `least` symbols or more, deepest first: a node is a longest run of leaves that branch no earlier than
+    its depth. Nodes all of whose leaves follow one symbol (before; -1 at a text's start) can be extended to the left, so they are no maximal repeat and
+    are left out. low is the least of lows over a node's leaves."""
+    edge = depths >= least
+    deep = edge | np.append(edge[1:], False)
+    leaves, depths, before, lows = leaves[deep], depths[deep], before[deep], lows[deep]
+    for depth in np.unique(depths[depths >= least])[::-1].tolist():
+        first = np.flatnonzero(depths < depth)
+        run = np.cumsum(depths < depth) - 1
+        here = np.zeros(len(first), bool)
+        here[run[depths == depth]] = True
+        small, large = np.minimum.reduceat(before, first), np.maximum.reduceat(before, first)
+        here &= (small != large) | (small < 0)
+        mine = here[run]
+        yield depth, leaves[mine], np.minimum.reduceat(lows, first)[run[mine]]
 
 
 def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
-    """Windows of 50 words with a smaller least doc_id than some text that has them."""
-    hashes = [words(s.content, SPACED)[2] for s in stretches]
-    sizes = np.array([len(h) for h in hashes])
-    symbols = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.uint32)
+    """Windows of 50 words with a smaller least doc_id than some text that has them: those inside maximal repeats, from the deep
+    nodes of the subtrees, and stretches that several texts have whole. Words are told apart by their bytes."""
+    names: dict[bytes, int] = {}
+    texts = [[names.setdefault(w, len(names)) for w in s.content.split()] for s in stretches]
+    sizes = np.array([len(t) for t in texts])
+    symbols = np.array([x for t in texts for x in t], np.int64)
     first = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(stretches)), [s.starts for s in stretches])
     counts = np.array([s.starts for s in stretches])
+    owner = np.repeat(np.arange(len(stretches)), counts)
     starts = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    of = np.empty(len(symbols), np.int64)
-    of[starts] = owner
     lows, highs = np.array([s.low for s in stretches]), np.array([s.high for s in stretches])
-    least = np.full(len(symbols), LAST)
+    of = np.repeat(np.arange(len(stretches)), sizes)
+    before = np.append(-1, symbols[:-1])
+    before[first] = -1
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    several = lows < highs
+    for size in np.unique(sizes[several]).tolist():
+        at = several & (sizes == size)
+        found.setdefault(size, []).append((first[at], lows[at]))
     for length, group in prefix_groups(symbols, starts, WINDOW, GROUP):
-        leaves, node = deep_nodes(symbols, group, length, WINDOW)
-        if len(leaves):
-            low = np.full(node[-1] + 1, LAST)
-            np.minimum.at(low, node, lows[of[leaves]])
-            least[leaves] = low[node]
+        if len(group) > 1:
+            leaves, depths = subtree(symbols, group, (first + sizes)[of[group]], length)
+            for depth, places, low in maximal_repeats(leaves, depths, before[leaves], lows[of[leaves]], WINDOW):
+                found.setdefault(depth, []).append((places, low))
+    least = np.full(len(symbols), LAST)
+    for depth in range(max(found, default=0), WINDOW - 1, -1):  # a repeat of one word more covers its own window and the next
+        least[1:] = np.minimum(least[1:], least[:-1])
+        for places, low in found.get(depth, ()):
+            np.minimum.at(least, places, low)
     for i, s in enumerate(stretches):
         low = least[first[i] : first[i] + s.starts]
         edges = np.flatnonzero(np.diff(low, prepend=-1, append=-1))

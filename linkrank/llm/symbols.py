@@ -1,16 +1,21 @@
-"""Vectorised words, word hashes and window anchors of one text at a time.
+"""Vectorised words, word identities and window anchors of one text at a time.
 
-Hashes are polynomial sums modulo 2**64 over prefix sums, so that any stretch's hash is one subtraction and one product;
-a finishing mix spreads them. They only choose groups and candidates, or stand for a word as its 64-bit identity."""
+A word's 64-bit identity is a sum of random numbers, one for each place and byte (tabulation), so that any two words agree with a chance of 2**-64
+whatever their form; longer words have a keyed digest. Hashes of stretches are polynomial sums modulo 2**64 over prefix sums, so that any stretch's
+hash is one subtraction and one product; those of bytes or of many words only choose groups and candidates."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 THIRTY_TWO = np.uint64(32)
+PLACES = 64
+NUMBERS = np.random.Philox(key=20_240_501).random_raw(PLACES * 256)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -61,15 +66,23 @@ ALNUM_FOLDED = byte_table(bytes([*range(48), *range(58, 65), *range(91, 97), *ra
 
 
 def words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and its 64-bit hash."""
+    """Start and end of each word, and its 64-bit identity."""
     counts = table[np.frombuffer(data, np.uint8)]
     inside = np.zeros(len(counts) + 2, np.int8)
     inside[1:-1] = counts > 0
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return starts, ends, np.empty(0, np.uint64)
-    return starts, ends, stretch_hashes(prefix_sums(counts), starts, ends)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    code = counts[counts > 0].astype(np.int64) - 1
+    ids = np.add.reduceat(NUMBERS[np.minimum(place, PLACES - 1) * 256 + code], first)
+    for i in np.flatnonzero(sizes > PLACES).tolist():
+        word = code[first[i] : first[i] + sizes[i]].astype(np.uint8).tobytes()
+        ids[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"word").digest(), "little")
+    return starts, ends, ids
 
 
 def grams(symbols: np.ndarray, n: int) -> np.ndarray:
