@@ -18,9 +18,10 @@ FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 FIRST, SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
 
-def discounted(n: np.ndarray) -> np.ndarray:
-    """Counts less twice their standard deviation, not below 0: what chance gives to one class alone goes to the backoff."""
-    return np.maximum(n - 2 * np.sqrt(n), 0.0)
+def discount(n: np.ndarray) -> float:
+    """The absolute discount of Kneser and Ney, from how many counts are 1 and 2; below 1, so that something is left of each count."""
+    once, twice = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
+    return once / (once + 2 * twice) if twice else 0.75
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -38,33 +39,46 @@ def fold(doc_id) -> int:
 
 @dataclass
 class Model:
-    """Sorted word keys with each class's continuation probability and left-over mass as a context; sorted pair keys with discounted shares."""
+    """Sorted word keys with each class's probability without context, and, as contexts, what is left for the backoff; sorted pair keys with shares.
+
+    p(w | class, v) = share + left * q, q(w | class, v) = pooled + pooled_left * base(w | class): the class after a word, then both classes
+    after it, then the class alone, whose own backoff both share. Each sums to 1 over all words and the unknown one."""
 
     word: np.ndarray
     base: np.ndarray  # (2, n)
     left: np.ndarray  # (2, n)
+    pooled_left: np.ndarray
     unknown: np.ndarray  # (2,)
     pair: np.ndarray
     share: np.ndarray  # (2, m)
-    pooled: np.ndarray  # both classes' share, weighted against the continuation distribution
+    pooled: np.ndarray
     weights: np.ndarray | None = None
     prior: float = 0.0
 
-    def differences(self, ids: np.ndarray) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of each token after the one before it."""
+    def probabilities(self, ids: np.ndarray) -> np.ndarray:
+        """(2, tokens): of each token after the one before it, in the ordinary and the toxic model; 1 without any counts."""
         if not len(ids) or not len(self.word):
-            return np.zeros(len(ids))
+            return np.ones((2, len(ids)))
         at = np.minimum(np.searchsorted(self.word, ids), len(self.word) - 1)
         known = self.word[at] == ids
-        p = np.where(known, self.base[:, at], self.unknown[:, None])
+        p = np.where(known, self.base[:, at], self.unknown[:, None]).astype(float)
         if len(ids) > 1:
-            left = np.where(known[:-1], self.left[:, at[:-1]], 1.0)
-            p[:, 1:] *= left
+            before, seen = at[:-1], known[:-1]
+            p[:, 1:] *= np.where(seen, self.pooled_left[before], 1.0)
+            left = np.where(seen, self.left[:, before], 1.0)
             if len(self.pair):
                 key = pair_keys(ids[:-1], ids[1:])
                 k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-                p[:, 1:] += np.where(self.pair[k] == key, self.share[:, k] + left * self.pooled[k], 0.0)
-        return np.log(p[1]) - np.log(p[0])
+                met = self.pair[k] == key
+                p[:, 1:] = left * (p[:, 1:] + np.where(met, self.pooled[k], 0.0)) + np.where(met, self.share[:, k], 0.0)
+            else:
+                p[:, 1:] *= left
+        return p
+
+    def differences(self, ids: np.ndarray) -> np.ndarray:
+        """Toxic minus ordinary log-likelihood of each token after the one before it."""
+        p = np.log(self.probabilities(ids))
+        return p[1] - p[0]
 
     def evidence(self, text: str | None) -> list[float]:
         """Length-normalised difference of the stretch of each span where toxic leads most, and of the whole text; zeros without words."""
@@ -82,56 +96,65 @@ class Model:
 
 
 def _counted(sample: DataFrame) -> DataFrame:
-    """sample(text, toxic) -> v, w, n0, n1: how many texts of each class have w after v. A text counts once, else one that repeats a line would stand for many."""
-    schema = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+    """sample(text, toxic) -> v, w, n0, n1: after how many different words (or at the start) the pair v, w stands in each class. Such continuation counts
+    are what Kneser and Ney back off to; a passage that many texts carry is one context, however often it stands."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("toxic", pa.int32())])
 
     def count(batches):
         for batch in batches:
             for toxic in (0, 1):
-                ids = [tokens(t) for t, x in rows_of([batch], "text", "toxic") if x == toxic]
-                pairs = [np.stack((a[:-1], a[1:]))[:, np.unique(pair_keys(a[:-1], a[1:]), return_index=True)[1]] for a in ids if len(a) > 1]
-                if not pairs:
+                ids = [np.concatenate((np.zeros(1, np.uint64), tokens(t))) for t, x in rows_of([batch], "text", "toxic") if x == toxic]
+                triples = [np.stack((a[:-2], a[1:-1], a[2:])) for a in ids if len(a) > 2]
+                if not triples:
                     continue
-                (v, w) = np.concatenate(pairs, axis=1)
-                _, first, n = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
-                zero = np.zeros(len(n), np.int64)
-                for a in range(0, len(n), 100_000):
-                    b = slice(a, a + 100_000)
-                    both = (zero[b], n[b]) if toxic else (n[b], zero[b])
-                    yield pa.RecordBatch.from_arrays([pa.array(v[first[b]].view(np.int64)), pa.array(w[first[b]].view(np.int64)), pa.array(both[0]), pa.array(both[1])], schema=schema)
-
-    return sample.mapInArrow(count, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def _kneser_ney(counts: DataFrame, cutoff: int) -> Model:
-    """Both models from pair counts. Discounted pairs of more than `cutoff` texts are kept; the mass of the others goes to
-    both classes' pooled pairs and the class's continuation distribution, evenly, and from there to a continuation distribution that
-    both classes share, so rare expressions count alike for both."""
+                u, v, w = np.concatenate(triples, axis=1)
+                first = np.unique(pair_keys(u, pair_keys(v, w)), return_index=True)[1]
+                for a in range(0, len(first), 100_000):
+                    b = first[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[b].view(np.int64)) for x in (u, v, w)), pa.array(np.full(len(b), toxic, np.int32))], schema=schema)
+
+    seen = sample.mapInArrow(count, "u long, v long, w long, toxic int").groupBy("u", "v", "w").agg(F.max(1 - F.col("toxic")).alias("n0"), F.max("toxic").alias("n1"))
+    return seen.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def kneser_ney(counts: DataFrame, cutoff: int = 1) -> Model:
+    """Both classes' interpolated models from continuation counts of pairs. Each level's discount comes from its own counts. The pooled level and the words'
+    backoff count in how many classes an expression occurs, 1 or 2: a class is a context like any other, so rare expressions count alike for
+    both. Pairs with no more than `cutoff` contexts aren't kept; what they would have goes to the backoff."""
+    n = [F.col(c) for c in ("n0", "n1")]
+    pooled = (n[0] > 0).cast("long") + (n[1] > 0).cast("long")
+    tally = lambda c, k: F.count_if(c == k)
+    once = counts.agg(*(tally(c, k) for c in (*n, pooled) for k in (1, 2))).first()
+    d = [a / (a + 2 * b) if b else 0.75 for a, b in zip(once[::2], once[1::2], strict=True)]
     some = lambda c: F.count_if(F.col(c) > 0).alias(c)
-    ends = counts.groupBy("w").agg(some("n0"), some("n1"), F.count(F.lit(1)).alias("n")).toPandas()
-    starts = counts.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    kept = counts.filter(F.col("n0") + F.col("n1") > cutoff).toPandas()
+    ends = counts.groupBy("w").agg(some("n0"), some("n1")).toPandas()
+    starts = counts.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(pooled).alias("n2")).toPandas()
+    kept = counts.filter(n[0] + n[1] > cutoff).toPandas()
     ids = lambda c: c.to_numpy(np.int64).view(np.uint64)
     word = np.unique(np.concatenate((ids(ends["w"]), ids(starts["v"]))))
-    types, contexts = np.zeros((3, len(word))), np.zeros((2, len(word)))
-    types[:, np.searchsorted(word, ids(ends["w"]))] = ends[["n0", "n1", "n"]].to_numpy(float).T
-    contexts[:, np.searchsorted(word, ids(starts["v"]))] = starts[["n0", "n1"]].to_numpy(float).T
-    shared = (types[2] + 0.5) / (types[2].sum() + 0.5 * (len(word) + 1))
-    unknown = 0.5 / (types[2].sum() + 0.5 * (len(word) + 1))
-    total = np.maximum(types[:2].sum(axis=1), 1)[:, None]
-    taken = discounted(types[:2])
-    spare = np.maximum(types[:2].sum(axis=1) - taken.sum(axis=1), 0.5)[:, None] / total
-    base = taken / total + spare * shared
+    types, contexts = np.zeros((2, len(word))), np.zeros((3, len(word)))
+    types[:, np.searchsorted(word, ids(ends["w"]))] = ends[["n0", "n1"]].to_numpy(float).T
+    contexts[:, np.searchsorted(word, ids(starts["v"]))] = starts[["n0", "n1", "n2"]].to_numpy(float).T
+
+    def spread(c, below, unknown):
+        """Counts less their discount, as shares, over `below`."""
+        e, total = discount(c), max(c.sum(), 1.0)
+        taken = np.maximum(c - e, 0.0) / total
+        spare = 1.0 - taken.sum()
+        return taken + spare * below, spare * unknown
+
+    uniform = 1.0 / (len(word) + 1)
+    shared, unknown = spread((types > 0).sum(axis=0).astype(float), np.full(len(word), uniform), uniform)
+    base = [spread(c, shared, unknown) for c in types]
     v = np.searchsorted(word, ids(kept["v"]))
-    n = kept[["n0", "n1"]].to_numpy(float).T
-    pooled = n.sum(axis=0) / np.maximum(contexts[:, v].sum(axis=0), 1)
-    share = discounted(n) / np.maximum(contexts[:, v], 1)
-    left = np.ones((2, len(word)))
-    for c in (0, 1):
-        left[c] -= np.bincount(v, share[c], minlength=len(word))
+    each = kept[["n0", "n1"]].to_numpy(float).T
+    each = np.vstack((each, (each > 0).sum(axis=0)))
+    share = np.maximum(each - np.array(d)[:, None], 0.0) / np.maximum(contexts[:, v], 1.0)
+    left = 1.0 - np.stack([np.bincount(v, x, minlength=len(word)) for x in share])
     key = pair_keys(ids(kept["v"]), ids(kept["w"]))
     order = np.argsort(key)
-    return Model(word, base.astype(np.float32), np.maximum(left, 1e-6).astype(np.float32), (spare[:, 0] * unknown).astype(np.float32), key[order], share[:, order].astype(np.float32), pooled[order].astype(np.float32))
+    small = lambda x: x.astype(np.float32)
+    return Model(word, small(np.stack([b for b, _ in base])), small(left[:2]), small(left[2]), small(np.array([u for _, u in base])), key[order], small(share[:2, order]), small(share[2, order]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -149,23 +172,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array([b[0] - slope @ mean, *slope])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes: int = 65_536, cutoff: int = 4) -> Model:
-    """Learns from labelled documents outside the held-out fold. Bounds of the sample: per_class documents of each label, as many of one as of the
-    other, the first by a hash of doc_id, of max_bytes at most. One fold of the sample is kept from the counts and fits the two weights and the prior
-    that turn evidence into a score. With one class only, or none, the score of every text is the share of label 1."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes: int = 65_536, cutoff: int = 1) -> Model:
+    """Learns from labelled documents outside the held-out fold. Bounds of the sample: per_class documents of each label, the first by a hash
+    of doc_id, of max_bytes at most. One fold of the sample is kept from the counts and fits the weights and the prior that turn evidence into a score. With one class only, or none, the score of every text is the share of label 1."""
     f = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", f).filter(F.col("fold") != HELD_OUT)
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     prior = size.get(1, 0) / max(1, sum(size.values()))
-    each = min(per_class, size.get(0, 0), size.get(1, 0))
     chosen = None
     for toxic in (0, 1):
-        part = rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+        part = rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class if len(size) > 1 else 0)
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = saved(sample.select("text", "toxic", "fold"))
     counts = saved(_counted(sample.filter(F.col("fold") != CALIBRATION)))
-    model = _kneser_ney(counts, cutoff)
+    model = kneser_ney(counts, cutoff)
     model.prior = prior
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("y", pa.int64()), ("x", pa.list_(pa.float64()))])
