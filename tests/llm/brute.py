@@ -20,6 +20,7 @@ def covered(n, starts, width):
 
 
 def contamination(docs, items, size=10):
+    """Items without an id hit words, but aren't listed."""
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     wins = defaultdict(set)
     for i, t in items:
@@ -33,7 +34,7 @@ def contamination(docs, items, size=10):
             for s in range(len(w) - n + 1):
                 if (found := wins.get(tuple(w[s : s + n]))):
                     hit.update(range(s, s + n))
-                    ids |= found
+                    ids |= found - {None}
         out.append((i, len(w), len(hit), len(ids), sha(",".join(sorted(map(str, ids))).encode()), bool(hit)))
     return out
 

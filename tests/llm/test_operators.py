@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -10,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
-from linkrank.llm import decontamination, jaccard, media, packing, quality, repeats, sharding, suffix_array, suffix_tree, toxicity, warc
+from linkrank.llm import decontamination, jaccard, media, packing, quality, repeats, sharding, suffix_array, suffix_tree, symbols, toxicity, warc
 from linkrank.llm.common import scratch_dir, ship
 from linkrank.llm.queries import QUERIES
 
@@ -74,7 +75,22 @@ def test_empty_tables(spark, tables, name):
 
 def test_decontamination(spark, tables):
     got = rows(QUERIES["op1_decontamination"](spark, tables["full"]))
-    assert got == sorted(brute.contamination(DOCS, [x for x in ITEMS if x[0] is not None]), key=repr)
+    assert got == sorted(brute.contamination(DOCS, ITEMS), key=repr)
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_decontamination_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    """Items of every length, one passage in many items, repeated words, copies, and a window that needs the last word."""
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
+    r = random.Random(81)
+    passage, few = prose(12, r), VOCABULARY[:4]
+    items = [(i, f"{passage} {prose(i % 3, r)}") for i in range(30)] + [(100 + n, " ".join(r.choice(few) for _ in range(n))) for n in (1, 2, 3, 4, 9, 10, 11)]
+    items += [(None, prose(14, r)), (7, prose(3, r)), (300, "zz zz zz zz zz zz zz zz zz zz")]
+    docs = [(i, " ".join(r.choice(few) for _ in range(r.randint(0, 60)))) for i in range(60)]
+    docs += [(100, passage), (101, passage), (102, f"{prose(9, r)} {passage.upper()}"), (103, "zz " * 40), (104, items[-3][1]), (105, "zz " * 9), (None, passage), (106, items[40][1] if len(items) > 40 else "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = rows(decontamination.decontaminate(d, spark.createDataFrame(items, "item_id long, text string")))
+    assert got == sorted(brute.contamination(docs, items), key=repr)
 
 
 def test_decontamination_finds_planted_passages(spark):
@@ -212,18 +228,67 @@ def test_external_columns_give_the_same(monkeypatch):
 
 
 def test_prefix_groups_split_and_cover():
-    symbols = np.array([random.Random(3).randrange(3) for _ in range(600)] + [0] * 400, np.uint32)
+    text = np.array([random.Random(3).randrange(3) for _ in range(600)] + [0] * 400)
     starts = np.arange(950)
-    classes = {}
-    for length, group in suffix_tree.prefix_groups(symbols, starts, 50, 20):
-        assert len(group) <= 20 or length == 50
-        leaves, node = suffix_tree.deep_nodes(symbols, group, length, 50)
-        for s, n in zip(leaves.tolist(), node.tolist(), strict=True):
-            classes[s] = (length, int(group.min()), n)
-    assert len(classes) == 950
-    for a in range(590, 950, 7):
-        for b in range(a + 1, 950, 11):
-            assert (classes[a] == classes[b]) == (symbols[a : a + 50] == symbols[b : b + 50]).all()
+    groups = list(suffix_tree.prefix_groups(text, starts, 50, 20))
+    assert sorted(np.concatenate([g for _, g in groups]).tolist()) == starts.tolist()
+    assert all(len(g) <= 20 or length == 50 for length, g in groups)
+    assert all((text[g[:, None] + np.arange(length)] == text[g[0] + np.arange(length)]).all() for length, g in groups)
+
+
+def test_subtrees_give_the_maximal_repeats():
+    """Against all substrings: the leaves in order, their branching depths, and the repeats that can be extended neither way."""
+    r = random.Random(4)
+    for _ in range(150):
+        texts = [[r.randrange(3) for _ in range(r.randint(1, 14))] for _ in range(r.randint(1, 5))]
+        sizes = np.array([len(t) for t in texts])
+        first = np.cumsum(sizes) - sizes
+        flat = np.array([x for t in texts for x in t])
+        of = np.repeat(np.arange(len(texts)), sizes)
+        before = np.append(-1, flat[:-1])
+        before[first] = -1
+        low = np.array([r.randrange(9) for _ in texts])[of]
+        tail = lambda p: tuple(texts[of[p]][p - first[of[p]] :])  # noqa: E731, B023
+        got = {}
+        for length, group in suffix_tree.prefix_groups(flat, np.flatnonzero((first + sizes)[of] - np.arange(len(of)) >= 2), 2, 3):
+            if not len(group):
+                continue
+            leaves, depths = suffix_tree.subtree(flat, group, (first + sizes)[of[group]], length)
+            assert [tail(p) for p in leaves] == sorted(tail(p) for p in group)
+            for depth, places, lows in suffix_tree.maximal_repeats(leaves, depths, before[leaves], low[leaves], 2):
+                for p, x in zip(places.tolist(), lows.tolist(), strict=True):
+                    got.setdefault(tail(p)[:depth], {})[p] = x
+        want = {}
+        for p in range(len(flat)):
+            for n in range(2, len(tail(p)) + 1):
+                want.setdefault(tail(p)[:n], set()).add(p)
+        want = {
+            x: {p: min(low[list(v)]) for p in v} for x, v in want.items()
+            if len(v) > 1 and len({tail(p)[len(x)] if len(tail(p)) > len(x) else (p,) for p in v}) > 1 and (len({before[p] for p in v}) > 1 or -1 in {before[p] for p in v})
+        }
+        assert got == want
+
+
+def thue_morse(n):
+    """Two words of 2**n letters that every polynomial hash modulo 2**64 takes for one."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse(10)
+    first, second = ("".join(x) for x in (a, b))
+    ids = [symbols.words(f"{w} x".encode(), symbols.SPACED_FOLDED)[2].tolist() for w in (first, second, first[:64], second[:64])]
+    assert len({tuple(x) for x in ids}) == 4 and len({x[1] for x in ids}) == 1
+    around = prose(60, random.Random(9)).split()
+    docs = [(i, " ".join([*around[:30], w, *around[30:]])) for i, w in enumerate((first, second))] + [(2, " ".join([first, second] * 30)), (3, " ".join([second, first] * 30))]
+    docs += [(4, " ".join([first] * 60)), (5, " ".join([second] * 60))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{(path := scratch_dir(spark))}/documents.parquet")
+    assert rows(QUERIES["op5_substring_dedup"](spark, path)) == sorted(brute.words_left(docs), key=repr)
+    got = rows(QUERIES["op3_ngram_jaccard"](spark, path), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute.components(docs, 3, 90, 100), key=repr)
 
 
 def test_media(spark, tables):
@@ -336,6 +401,76 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[5000]["score"] == got[5001]["score"] < 0.5 and got[None]["held_out"]
 
 
+def plain_kneser_ney(texts):
+    """p(class, v, w) over the words of the texts and None, from sets and sums."""
+    words_of = [(x, re.findall("[a-zé0-9]+", t.lower())) for t, x in texts]
+    triples = {(c, u, v, w) for c, t in words_of for u, v, w in zip(["", *t], t, t[1:], strict=False)}
+    n = {}
+    for c, _, v, w in triples:
+        n[c, v, w] = n.get((c, v, w), 0) + 1
+    vocabulary = {x for _, v, w in n for x in (v, w)}
+
+    def discount(counts):
+        once, twice = (sum(x == k for x in counts) for k in (1, 2))
+        return once / (once + 2 * twice) if twice else 0.75
+
+    def level(counts, below):
+        """counts of words, and p of the level below -> p"""
+        d, total = discount(counts.values()), sum(counts.values())
+        spare = 1 - sum(max(x - d, 0) for x in counts.values()) / total
+        return lambda w: max(counts.get(w, 0) - d, 0) / total + spare * below(w)
+
+    types = [{}, {}]
+    for c, _, w in n:
+        types[c][w] = types[c].get(w, 0) + 1
+    shared = level({w: sum(w in t for t in types) for w in {*types[0], *types[1]}}, lambda w: 1 / (len(vocabulary) + 1))
+    base = [level(t, shared) for t in types]
+    both = {}
+    for c, v, w in n:
+        both.setdefault((v, w), set()).add(c)
+    dp, dc = discount([len(x) for x in both.values()]), [discount([x for (k, *_), x in n.items() if k == c]) for c in (0, 1)]
+
+    def after(counts, d, below, v):
+        total = sum(x for (a, _), x in counts.items() if a == v)
+        if not total:
+            return below
+        spare = 1 - sum(max(x - d, 0) for (a, _), x in counts.items() if a == v) / total
+        return lambda w: max(counts.get((v, w), 0) - d, 0) / total + spare * below(w)
+
+    pooled = {k: len(x) for k, x in both.items()}
+    return vocabulary, lambda c, v: after({(a, b): x for (k, a, b), x in n.items() if k == c}, dc[c], after(pooled, dp, base[c], v), v)
+
+
+def test_kneser_ney_models_sum_to_one_and_equal_plain_sums(spark):
+    r = random.Random(71)
+    made = [(" ".join(r.choice(VOCABULARY[: 12 + 10 * x]) for _ in range(r.randint(1, 30))), x) for _ in range(25) for x in (0, 1)]
+    made += [("alone", 0), ("", 1), (None, 0)]
+    model = toxicity.kneser_ney(toxicity._counted(spark.createDataFrame(made, "text string, toxic int").repartition(3)), cutoff=0)
+    vocabulary, plain = plain_kneser_ney([(t or "", x) for t, x in made])
+    assert {int(x) for x in model.word} == {int(toxicity.tokens(w)[0]) for w in vocabulary}
+    pruned = toxicity.kneser_ney(toxicity._counted(spark.createDataFrame(made, "text string, toxic int")), cutoff=2)
+    assert 0 < len(pruned.pair) < len(model.pair)
+    for v in [*sorted(vocabulary), "neverseen"]:
+        want = [plain(c, v) for c in (0, 1)]
+        got = {w: model.probabilities(toxicity.tokens(f"{v} {w}"))[:, 1] for w in [*vocabulary, "unheardof"]}
+        for c in (0, 1):
+            assert sum(p[c] for p in got.values()) == pytest.approx(1, abs=1e-5)
+            assert all(p[c] == pytest.approx(want[c](w), rel=1e-4) for w, p in got.items())
+        less = np.sum([pruned.probabilities(toxicity.tokens(f"{v} {w}"))[:, 1] for w in got], axis=0)
+        assert less == pytest.approx([1, 1], abs=1e-5)
+    single = np.sum([model.probabilities(toxicity.tokens(w))[:, 0] for w in [*vocabulary, "unheardof"]], axis=0)
+    assert single == pytest.approx([1, 1], abs=1e-5)
+
+
+@pytest.mark.parametrize("labels", [[(i, 1) for i in range(40)], [(i, 0) for i in range(40)], [(i, i % 2) for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 0]])
+def test_toxicity_with_labels_of_one_kind_or_held_out_alone(spark, tables, labels):
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, lab)).collect()
+    share = float(labels[0][1]) if len({x for _, x in labels}) == 1 else 0.0
+    assert len(got) == len(DOCS) and {x["score"] for x in got} == {share}
+
+
 def test_toxicity_without_labels(spark, tables):
     got = QUERIES["op2_toxicity"](spark, tables["full"]).collect()
     assert len(got) == len(DOCS) and all(0 <= r["score"] <= 1 for r in got)
