@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from .symbols import SPACED_FOLDED, grams, words
 BUCKET_BITS = 17
 POSTINGS = 1 << 21
 BLOCK = 512  # documents of a group that are compared with each other in one task
+SHINGLES = 1 << 19  # and shingles that these have, about
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("key", pa.binary()), ("lead", pa.bool_()), ("prefix", pa.list_(pa.int64()))])
 SETS_DDL = "doc_id long, n long, sig binary, key binary, lead boolean, prefix array<long>"
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -41,10 +43,12 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """How often shingles fall into each of 2**BUCKET_BITS hash buckets, over all documents: a table of fixed size. It orders
     shingles by rarity; any order gives the same links, and a good one few candidates."""
     chunks = 64
-    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+    ddl = "chunk int, part int, counts binary"
 
     def rows(counts):
-        return pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, chunks)], pa.binary())], schema=schema)
+        part = TaskContext.get().partitionId() % 1000
+        return pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([part] * chunks, pa.int32()), pa.array([c.tobytes() for c in np.split(counts, chunks)], pa.binary())], schema=schema)
 
     def count(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -54,9 +58,11 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
             yield rows(counts)
 
     def total(table: pa.Table) -> pa.Table:
-        return pa.table([table["chunk"].slice(0, 1).combine_chunks(), pa.array([sum(np.frombuffer(c.as_py(), np.int64) for c in table["counts"]).tobytes()], pa.binary())], schema=schema)
+        added = sum(np.frombuffer(c.as_py(), np.int64) for c in table["counts"])
+        return pa.table([table["chunk"].slice(0, 1).combine_chunks(), table["part"].slice(0, 1).combine_chunks(), pa.array([added.tobytes()], pa.binary())], schema=schema)
 
-    summed = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect()
+    counted = docs.select("text").mapInArrow(count, ddl)  # up to 1000 of its tasks are added up first, so that no task gets a row of each
+    summed = counted.groupBy("chunk", F.expr("part div 32")).applyInArrow(total, ddl).groupBy("chunk").applyInArrow(total, ddl).collect()
     out = np.zeros((chunks, (1 << BUCKET_BITS) // chunks), np.int64)
     for r in summed:
         out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
@@ -85,41 +91,45 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, SETS_DDL)
 
 
-def _visits(sets: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """(gid, key, sid, role): the group in which each candidate set lives (role 0), and those that it has to query (role 1).
-
-    Sets with fewer shared prefix shingles than any link needs are left out. A set's home is its most common shared one, so that similar
-    sets meet. The matrix has a row for each shingle and home that go together, with the sizes of its sets; a set queries the homes in its shingles' rows
-    that come before its own, as the other side covers the rest, and only where enough rows allow a link: neither size may be below
-    the similarity times the other, and the first shingle must stand early enough in the prefix for the overlap to be reached. A home
-    with many sets is split into blocks; a set queries the earlier blocks of its own home and all of others."""
-    need = least_common(num, den)
+def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(k, n, pos, token, home) of the prefix shingles by which each distinct set, named k, may link with others. Sets with fewer shared prefix shingles than any link needs
+    are left out. A set's home is its most common shared one, so that similar sets meet."""
     spread = sets.filter("lead").select(F.xxhash64("sig").alias("k"), "n", F.posexplode("prefix").alias("pos", "token"))
     small, large = F.min("n").alias("small"), F.max("n").alias("large")
     common = spread.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("df"), small, large)
     common = common.filter("a != b").filter((F.col("df") > 2) | (F.col("small") * den >= F.col("large") * num))
     shared = saved(spread.join(saved(common.select("token", "df")), "token"))
-    enough = shared.groupBy("k").agg(F.count_distinct("token").alias("c"), F.max(F.struct("df", "token"))["token"].alias("home")).filter(F.col("c") >= need)
-    homes = saved(enough.select("k", "home"))
-    shared = saved(shared.join(homes, "k"))
-    sizes = saved(homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    homes = saved(homes.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")))
-    lives = homes.select("k", "home", "block", F.lit(0).alias("role"))
-    matrix = shared.groupBy("token", F.col("home").alias("other")).agg(small, large)
-    matrix = saved(matrix.join(sizes.withColumnsRenamed({"home": "other", "blocks": "others"}), "other"))
-    n = F.col("n")
+    enough = shared.groupBy("k").agg(F.count_distinct("token").alias("c"), F.max(F.struct("df", "token"))["token"].alias("home")).filter(F.col("c") >= least_common(num, den))
+    return saved(shared.drop("df").join(saved(enough.select("k", "home")), "k"))
+
+
+def _blocks(members: DataFrame, group: list[str]) -> DataFrame:
+    """members(.., sid, n) with the number of blocks that its group is dealt to, and its own block."""
+    size = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).cast("int")
+    counted = saved(members.groupBy(*group).agg(size.alias("blocks"), F.count(F.lit(1)).alias("members")))
+    return members.join(counted, group).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int"))
+
+
+def _asks(shared: DataFrame, at: DataFrame, num: int, den: int) -> DataFrame:
+    """(k, home, part): the groups that a set has to query. at(k, part, root): a group is one home's sets of a part; root is the component that a set belongs to so far.
+
+    The matrix has a row for each shingle and home or group that go together, with the sizes of its sets: the token unions. A set queries groups of other
+    components alone, that come before its own, as the other side covers the rest, and only where the union holds enough of its shingles and
+    enough rows allow a link: neither size may be below the similarity times the other, and the first shingle must stand early enough in the prefix for the
+    overlap to be reached. Homes are asked first, and the groups of those that are left next; no text moves for either."""
+    need, n = least_common(num, den), F.col("n")
+    small, large = F.min("n").alias("small"), F.max("n").alias("large")
     partner = F.greatest(F.col("small"), F.ceil(n * num / den).cast("long"))  # the least size that could link
     early = (n - F.col("pos")) * (num + den) >= (n + partner) * num
-    asks = shared.join(matrix, "token").filter((F.col("other") <= F.col("home")) & (partner <= F.col("large")) & (F.col("small") * num <= n * den))
-    asks = asks.groupBy("k", "other", "others").agg(F.count_distinct("token").alias("c"), F.max(early).alias("early")).filter((F.col("c") >= need) & F.col("early"))
-    asks = asks.select("k", "other", "others").join(homes, "k")
-    last = F.when(F.col("other") == F.col("home"), F.col("block")).otherwise(F.col("others"))
-    asks = asks.filter(last > 0).select("k", F.col("other").alias("home"), F.explode(F.sequence(F.lit(0), last - 1)).alias("block"), F.lit(1).alias("role"))
-    gid = F.xxhash64("home", "block").alias("gid")  # groups that fall together by chance only compare more
-    visits = texts.select("sid", "key", F.xxhash64("sig").alias("k")).join(lives.unionByName(asks), "k").select(gid, "sid", "key", "role")
-    visits = saved(visits)
-    met = visits.groupBy("gid").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("gid")
-    return saved(visits.join(saved(met), "gid"))  # a set alone in its group has nothing to compare there
+    fits = (partner <= F.col("large")) & (F.col("small") * num <= n * den)
+    enough = lambda rows, *keys: rows.groupBy(*keys).agg(F.count_distinct("token").alias("c"), F.max(early).alias("early")).filter((F.col("c") >= need) & F.col("early")).select(*keys)
+    rooted = saved(shared.join(at, "k"))
+    homes = rooted.groupBy("token", F.col("home").alias("other")).agg(small, large, F.min("root").alias("r0"), F.max("root").alias("r1"))
+    asks = rooted.join(saved(homes), "token").filter((F.col("other") <= F.col("home")) & fits & ((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root"))))
+    asks = saved(enough(asks, "k", "other"))
+    groups = saved(rooted.groupBy("token", F.col("home").alias("other"), F.col("part").alias("of")).agg(small, large, F.first("root").alias("r")))
+    again = rooted.join(asks, "k").join(groups, ["token", "other"]).filter((F.col("r") != F.col("root")) & ((F.col("other") < F.col("home")) | (F.col("of") < F.col("part"))) & fits)
+    return enough(again, "k", "other", "of").select("k", F.col("other").alias("home"), F.col("of").alias("part"))
 
 
 def _overlaps(queries: list[np.ndarray], members: list[np.ndarray], union: np.ndarray) -> np.ndarray:
@@ -178,8 +188,8 @@ def _local_components(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den: int):
-    """Edges that connect what links within the members and between visitors and members; not every link is listed."""
+def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den: int, one: bool = False):
+    """Edges that connect what links within the members and between visitors and members; not every link is listed. one: the members are connected already."""
     ids, sets = [i for i, _ in members], [s for _, s in members]
     union = np.unique(np.concatenate(sets))
     sizes = np.array([len(s) for s in sets])
@@ -195,10 +205,11 @@ def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den:
             out[opened] = den * both >= num * (n[opened, None] + sizes - both)
         return out
 
-    label = _local_components(links(sets))
-    for i, c in enumerate(label):
-        if c != i:
-            yield ids[i], ids[c]
+    label = np.zeros(len(sets), np.int64) if one else _local_components(links(sets))
+    if not one:
+        for i, c in enumerate(label):
+            if c != i:
+                yield ids[i], ids[c]
     for block in visitors:
         found = links([s for _, s in block])
         for (i, _), row in zip(block, found, strict=True):
@@ -206,25 +217,10 @@ def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den:
                 yield i, ids[c]
 
 
-def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) of sids: enough of the links to connect all that are linked."""
-    visits = _visits(sets, texts, num, den)
-
-    def blobs(batches):
-        out, seen = Rows(pa.schema([("key", pa.binary()), ("blob", pa.binary())])), set()
-        for (text,) in rows_of(batches, "text"):
-            data = (text or "").encode()
-            key = text_key(data)
-            if key not in seen:
-                seen.add(key)
-                blob = packed(data)
-                if out.add(key, blob, weight=64 + len(blob)):
-                    yield out.take()
-        yield out.take()
-
-    bodies = docs.select("text").mapInArrow(blobs, "key binary, blob binary").dropDuplicates(["key"])
+def _compared(bodies: DataFrame, visits: DataFrame, k: int, num: int, den: int, one: bool) -> DataFrame:
+    """(a, b): the edges of the groups of visits(gid, sid, key, role); role 0 are the members, 1 those that query them. bodies(key, blob) are the texts."""
     placed = bodies.join(saved(visits.groupBy("key").agg(F.collect_set(F.struct("gid", "sid", "role")).alias("v"))), "key").select("blob", F.explode("v").alias("v"))
-    dealt = placed.select("v.gid", "v.role", "v.sid", "blob").repartition(parts(docs.sparkSession), "gid").sortWithinPartitions("gid", "role", "sid")
+    dealt = placed.select("v.gid", "v.role", "v.sid", "blob").repartition(parts(visits.sparkSession), "gid").sortWithinPartitions("gid", "role", "sid")
 
     def compare(batches):
         out = Rows(EDGES)
@@ -237,21 +233,19 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
             return held["row"]
 
         def take(gid, role, most):
-            got = []
-            while (r := ahead()) and r[0] == gid and r[1] == role and len(got) < most:
+            got, weight = [], 0
+            while (r := ahead()) and r[0] == gid and r[1] == role and len(got) < most and weight < 2 * SHINGLES:
                 got.append((r[2], shingle_set(unpacked(r[3]).decode(), k)))
+                weight += len(got[-1][1])
                 held["row"] = None
             return got
 
         while r := ahead():
-            gid = r[0]
-            members = take(gid, 0, 1 << 30)
+            gid, members = r[0], []
+            while more := take(gid, 0, BLOCK):
+                members += more
             blocks = iter(lambda g=gid: take(g, 1, BLOCK), [])
-            if not members:
-                for _ in blocks:
-                    pass
-                continue
-            for a, b in group_edges(members, blocks, num, den):
+            for a, b in group_edges(members, blocks, num, den, one):
                 if a != b and out.add(a, b):
                     yield out.take()
         yield out.take()
@@ -259,6 +253,61 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
     return saved(dealt.mapInArrow(compare, "a long, b long"))
 
 
+def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of sids: enough of the links to connect all that are linked.
+
+    First the sets of a home are compared in blocks, and one of each connected part goes on to a next round, until a home's last ones fill one block or nothing
+    connects any more: very many near copies shrink by a block's size each round, and never meet in pairs. Then each set queries the groups that belong to
+    other components; within a component nothing is left to find."""
+    spark = docs.sparkSession
+
+    def blobs(batches):
+        out, seen = Rows(pa.schema([("key", pa.binary()), ("blob", pa.binary())])), set()
+        for key, text in rows_of(batches, "key", "text"):
+            if key not in seen:
+                seen.add(key)
+                blob = packed((text or "").encode())
+                if out.add(key, blob, weight=64 + len(blob)):
+                    yield out.take()
+        yield out.take()
+
+    shared = _candidates(sets, num, den)
+    named = texts.select("sid", "key", "n", F.xxhash64("sig").alias("k"))
+    living = saved(shared.select("k", "home").distinct().join(named, "k").select("k", "home", "sid", "key", "n"))
+    keyed = docs.select(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("key"), "text")
+    bodies = saved(keyed.join(living.select("key"), "key", "left_semi").mapInArrow(blobs, "key binary, blob binary").dropDuplicates(["key"]))
+    edges, members, size = None, living, None
+    while True:
+        dealt = saved(_blocks(members, ["home"]).filter("members > 1"))
+        now = dealt.count()
+        if not now or now == size:
+            break
+        size = now
+        found = _compared(bodies, dealt.select(F.xxhash64("home", "block").alias("gid"), "sid", "key", F.lit(0).alias("role")), k, num, den, False)
+        edges = found if edges is None else edges.unionByName(found)
+        members = dealt.filter("blocks > 1").select("k", "home", "sid", "key", "n").join(found.select(F.col("a").alias("sid")).distinct(), "sid", "left_anti")
+    if edges is None:
+        return spark.createDataFrame([], "a long, b long")
+    gid, group = F.xxhash64("home", "part", "block").alias("gid"), ["home", "part"]
+    at, done = living.select("k", "home", "sid", "key", "n"), None
+    for first in (True, False):  # of a group of many blocks one is queried first: most often it connects, and the others have nothing left to find
+        root = F.coalesce("root", "sid")
+        at = at.drop("root").join(components(edges), F.col("sid") == F.col("node"), "left").withColumn("root", root).drop("node")
+        at = saved(at.withColumn("part", F.col("root")) if first else at)
+        asks = _asks(shared, at.select("k", "part", "root"), num, den)
+        asks = saved(asks if first else asks.join(done, group, "left_semi"))
+        groups = saved(_blocks(at.join(asks.select(*group).distinct(), group), group))
+        blocks = groups.select(*group, "blocks").distinct()
+        which = F.col("block") == 0 if first else F.col("block") > 0
+        queries = asks.join(blocks, group).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(which)
+        visits = groups.filter(which).select(gid, "sid", "key", F.lit(0).alias("role")).unionByName(queries.select("k", gid).join(at.select("k", "sid", "key"), "k").select("gid", "sid", "key", F.lit(1).alias("role")))
+        edges = edges.unionByName(_compared(bodies, saved(visits), k, num, den, True))
+        done = saved(blocks.filter("blocks > 1").select(*group))
+        if done.isEmpty():
+            break
+    return edges
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the edges can reach, by large and small stars in turn. Tables grow with the edges
     alone, and a star with very many leaves is joined from files, so that its rows can be dealt out."""
@@ -284,7 +333,7 @@ def similar_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
     repeat or are null, only the root tells components apart; it is null without words."""
     sets = saved(_sets(docs, k, num, den))
     low = F.min(F.coalesce("doc_id", F.lit(LAST)))
-    texts = saved(sets.filter("n > 0").groupBy("sig").agg(low.alias("low"), F.min("key").alias("key")).withColumn("sid", F.monotonically_increasing_id()))
+    texts = saved(sets.filter("n > 0").groupBy("sig").agg(low.alias("low"), F.min("key").alias("key"), F.first("n").alias("n")).withColumn("sid", F.monotonically_increasing_id()))
     roots = components(similar_pairs(docs, sets, texts, k, num, den))
     named = texts.join(roots, F.col("sid") == F.col("node"), "left").select("sig", "low", F.coalesce("root", "sid").alias("root"))
     named = saved(named)

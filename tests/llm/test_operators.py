@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -121,6 +122,24 @@ def test_jaccard_group_of_many_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in df.collect()} == {0}
 
 
+@pytest.mark.parametrize("kinds", [1, 2])
+def test_very_many_near_copies_do_not_meet_in_pairs(spark, monkeypatch, kinds):
+    """4000 near copies, of one text or of two that share a third, in blocks of 50: each set moves a bounded number of times."""
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    moved, compared = [], jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda bodies, visits, *a: (moved.append(visits.count()), compared(bodies, visits, *a))[1])
+    r = random.Random(91)
+    common, bases = prose(50, r).split(), [prose(100, r).split() for _ in range(kinds)]
+    docs = []
+    for i in range(4000):
+        near = [*common, *bases[i % kinds]]
+        near[50 + i % 97] = f"changed{i // 97}"
+        docs.append((i, " ".join(near)))
+    df = jaccard.similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 3, 90, 100)
+    assert {(r["doc_id"] % kinds, r["component_id"]) for r in df.collect()} == {(k, k) for k in range(kinds)}
+    assert sum(moved) < 3 * len(docs), moved
+
+
 def test_one_of_each_group_stays(spark):
     base = prose(200)
     docs = [(4, base + " end", 1), (2, base, 2), (2, base, 3), (9, prose(50), 4), (None, "", 5), (None, None, 6), (7, base, 7)]
@@ -360,10 +379,25 @@ def test_ids_are_those_of_the_json_tokenizer():
 def test_sum_of_squares_fills_bins():
     r = np.random.default_rng(4)
     sizes = r.integers(1, 2048, 4000)
-    bins, offsets, fill = packing.sum_of_squares(sizes, 2048)
+    bins, fill = packing.sum_of_squares(sizes, 2048)
     assert fill.max() <= 2048 and (np.bincount(bins, sizes) == fill).all() and len(fill) <= 1.02 * sizes.sum() / 2048
 
 
+def test_pieces_are_refitted_to_save_bins():
+    r = np.random.default_rng(5)
+    for n, least in ((1, 1), (2, 1), (700, 1), (700, 300), (4000, 20)):
+        sizes = np.minimum(r.geometric(0.004, n) + least - 1, 2048)
+        first, filled = packing.sum_of_squares(sizes, 2048)
+        bins, fill = packing.refitted(sizes, first, filled, 2048)
+        assert len(fill) <= len(filled) and fill.max() <= 2048 and fill.min() > 0 and (np.bincount(bins, sizes) == fill).all()
+        if least == 1:
+            assert len(fill) <= -(-sizes.sum() // 2048) + (n > 2) and len(fill) >= -(-sizes.sum() // 2048)
+        at = packing.offsets(sizes, bins)
+        for b in np.unique(bins):
+            here = np.flatnonzero(bins == b)
+            assert np.array_equal(at[here], np.cumsum(sizes[here]) - sizes[here])
+
+
 def test_warc(spark, tables):
     got = rows(QUERIES["op10_warc_transactions"](spark, tables["full"]), "page_id", "payload_bytes", "record_type", "refers_to")
     same = len("<p>é</p>".encode())
@@ -380,6 +414,30 @@ def test_captures_are_nested_and_checked(spark, tables):
         list(warc.parse_archive(b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 9\r\n\r\nabc"))
 
 
+@pytest.mark.parametrize(("size", "most"), [(1, 0), (1 << 26, 10**6)])
+def test_archives_read_in_pieces(spark, tmp_path, monkeypatch, size, most):
+    """Payloads with record separators in them, a very long one, many files or one; copies joined by broadcast or by salted shuffle."""
+    monkeypatch.setattr(warc, "IN_BROADCAST", most)
+    texts = ["", "a", warc.NEXT, f"x{warc.NEXT}WARC-Type: response\r\nContent-Length: 0\r\n\r\n", "\r\n" * 9, "\r\n\r\nWARC/1.1\r", "é" * 2_000_000, "\x00\x01"]
+    pages = [(i, f"http://h/{i}", texts[i % len(texts)]) for i in range(60)]
+    warc.write_pages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"), file_bytes=size)
+    files = list((tmp_path / "w").glob("*.gz"))
+    assert (len(files) >= 60) == (size == 1)
+    c = warc.captures(warc.read_records(spark, str(tmp_path / "w"))).collect()
+    got = {r["metadata"]["page_id"]: (r["response"]["record_type"], r["metadata"]["refers_to"], r["response"]["payload"]) for r in c}
+    last = {t: i for i, _, t in pages}
+    assert got == {i: ("response", None, t.encode()) if last[t] == i else ("revisit", last[t], None) for i, _, t in pages}
+    assert len([x for f in files for x in warc.parse_archive(f.read_bytes())]) == 180
+    big = max(files, key=lambda f: f.stat().st_size)
+    rest = gzip.decompress(big.read_bytes())
+    members = gzip.compress(rest[:1000]) + gzip.compress(rest[1000:])
+    assert list(warc.parse_archive(members)) == list(warc.parse_archive(big.read_bytes()))
+    big.write_bytes(gzip.compress(rest[:-9]))
+    (big.parent / f".{big.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_records(spark, str(tmp_path / "w")).collect()
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(11)
     docs, labels = [], []
