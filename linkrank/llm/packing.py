@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, rows_of, saved
+from .common import Rows, parts, rows_of, saved
 
 END_ID = 0
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -57,13 +58,13 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES_DDL)
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each size, and each bin's fill. Longest first; of the open bins with room, a size goes to one that makes the sum, over
+def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin of each size, and each bin's fill. Longest first; of the open bins with room, a size goes to one that makes the sum, over
     gaps above 0, of the squared number of open bins with that gap smallest, with ties to the smallest gap; a new bin is opened only where none has
     room. Equal sizes are placed in their order."""
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins, offsets, fill = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), []
+    bins, fill = np.empty(len(sizes), np.int64), []
     for i in np.argsort(-sizes, kind="stable"):
         s = int(sizes[i])
         gap, here = capacity, count[s:capacity]
@@ -79,13 +80,54 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
         else:
             b = open_bins[gap].pop()
             count[gap] -= 1
-        bins[i], offsets[i] = b, fill[b]
+        bins[i] = b
         fill[b] += s
         left = gap - s
         if left:
             open_bins[left].append(b)
             count[left] += 1
-    return bins, offsets, np.array(fill, np.int64)
+    return bins, np.array(fill, np.int64)
+
+
+def refitted(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, or with fewer bins: sizes up to capacity / 32, / 16, .. / 2 are lifted and put back, longest first, each where the least room is left, and the
+    first such try that saves a bin is taken. The sum of squares keeps gaps of all sizes open to the end, so its last bins are loose."""
+    for limit in (capacity >> k for k in range(5, 0, -1)):
+        items = np.flatnonzero(sizes <= limit)
+        items = items[np.argsort(-sizes[items], kind="stable")]
+        trial, new = bins.copy(), fill.copy()
+        np.subtract.at(new, bins[items], sizes[items])
+        gaps = sorted((capacity - f, b) for b, f in enumerate(new.tolist()) if f and f < capacity)
+        unused = np.flatnonzero(new == 0).tolist()
+        for i in items.tolist():
+            s = int(sizes[i])
+            at = bisect_left(gaps, (s, -1))
+            if at == len(gaps):
+                if not unused:
+                    break
+                gaps.append((capacity, unused.pop()))
+            gap, b = gaps.pop(at)
+            trial[i] = b
+            new[b] += s
+            if gap > s:
+                insort(gaps, (gap - s, b))
+        else:
+            if unused:
+                keep = np.flatnonzero(new)
+                number = np.zeros(len(new), np.int64)
+                number[keep] = np.arange(len(keep))
+                return number[trial], new[keep]
+    return bins, fill
+
+
+def offsets(sizes: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Where each size begins in its bin, in their order."""
+    order = np.argsort(bins, kind="stable")
+    before = np.cumsum(sizes[order]) - sizes[order]
+    first = np.flatnonzero(np.diff(bins[order], prepend=-1))
+    out = np.empty(len(sizes), np.int64)
+    out[order] = before - np.repeat(before[first], np.diff(np.append(first, len(order))))
+    return out
 
 
 def pack(items: DataFrame, capacity: int = 2048, group_rows: int = 32_768) -> DataFrame:
@@ -96,11 +138,12 @@ def pack(items: DataFrame, capacity: int = 2048, group_rows: int = 32_768) -> Da
     def place(table: pa.Table) -> pa.Table:
         order = pa.compute.sort_indices(table, [("length", "descending"), ("item", "ascending")])
         table = table.take(order)
-        bins, offsets, _ = sum_of_squares(table["length"].to_numpy(), capacity)
+        sizes = table["length"].to_numpy()
+        bins, _ = refitted(sizes, *sum_of_squares(sizes, capacity), capacity)
         first = table["g"][0].as_py() << 32
-        return pa.table([table["item"].combine_chunks(), pa.array(bins + first), pa.array(offsets)], schema=PLACED)
+        return pa.table([table["item"].combine_chunks(), pa.array(bins + first), pa.array(offsets(sizes, bins))], schema=PLACED)
 
-    dealt = items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(groups)).alias("g"))
+    dealt = items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(groups)).alias("g")).repartition(min(groups, parts(items.sparkSession)), "g")
     return dealt.groupBy("g").applyInArrow(place, PLACED_DDL)
 
 
