@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rows, saved, scratch_dir
+from .common import Rows, rows_of, saved, scratch_dir
 
 CRLF = "\r\n"
+NEXT = "\r\n\r\nWARC/1.1\r\n"  # what most records begin after; where a payload has it too, the lengths tell
+SALTS = 16
+IN_BROADCAST = 500_000  # digests of copies; more are joined by shuffle
+FILE_BYTES = 64 << 20  # of payloads in an archive file, about
 DATE = "2024-01-01T00:00:00Z"
 RECORD = pa.schema(
     [
@@ -36,19 +40,24 @@ def _record(kind: Column, record_id: Column, extra: Column, mime: str, block: Co
     )
 
 
-def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_file: int = 12_288) -> None:
+def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Writes a request, a response or revisit, and a metadata record for each row of pages(page_id, url, html).
 
     Of rows whose payloads are equal and at least min_revisit_bytes long, that with the largest page_id is the
     response; the others become revisits, whose payload is not stored again. A null html is an empty payload, a null url an
     empty target; null page_ids count as smallest, and repeated rows with the winning page_id are each a response.
-    The files are gzip streams of whole records; a payload's size is limited only by a string's."""
+    The files are gzip streams of whole records, of about file_bytes each by the mean payload; a payload's size is limited only by a string's."""
     clean = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]", "")
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
     rows = pages.select(F.col("page_id").cast("long"), clean.alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("at"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.octet_length("html"))
     best = F.max(F.struct("page_id", "url"))
     first = saved(rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select(F.col("digest").alias("d"), "best"))
-    rows = rows.join(first, F.col("digest") == F.col("d"), "left")
+    if first.count() <= IN_BROADCAST:
+        rows = rows.join(F.broadcast(first), F.col("digest") == F.col("d"), "left")
+    else:  # each digest once for every salt, so that the rows of a very common page are dealt out
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("s", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).join(salted, (F.col("digest") == F.col("d")) & (F.col("s") == F.col("salt")), "left")
     again = (F.col("n") >= min_revisit_bytes) & F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best.page_id"))
     ident = lambda kind: F.regexp_replace(F.md5(F.concat_ws("|", F.lit(kind), "at", "digest")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
     uri = F.concat(F.lit("WARC-Target-URI: "), F.col("url"), F.lit(CRLF))
@@ -67,24 +76,43 @@ def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records
         _record(F.lit("metadata"), ident("metadata"), near, "application/warc-fields", fields),
     )
     out = rows.select(F.explode(records).alias("value")).write
-    out.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def parse_archive(data: bytes, with_payload: bool = True):
-    """Rows of RECORD from one archive. A response whose payload doesn't have the digest in its header is an error."""
-    data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
-        if not lines[0].startswith("WARC/1."):
-            raise ValueError(f"no record at byte {at}")
-        head = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
-        size = int(head["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut short")
-        at = end + 8 + size
+    out.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * max(1, int(file_bytes // (mean + 1000)))).text(path)
+
+
+class Archive:
+    """The records of one archive from its bytes, which come piece by piece; no more is held than the record at hand."""
+
+    def __init__(self, name: str, with_payload: bool = True):
+        self.name, self.with_payload, self.held, self.wanted = name, with_payload, bytearray(), 0
+
+    def feed(self, data: bytes):
+        """Rows of RECORD that are now whole. A response whose payload doesn't have the digest in its header is an error."""
+        self.held += data
+        while len(self.held) > self.wanted:
+            end = self.held.find(b"\r\n\r\n")
+            if end < 0:
+                return
+            lines = self.held[:end].decode().split(CRLF)
+            if not lines[0].startswith("WARC/1."):
+                raise ValueError(f"{self.name}: no record where one should begin")
+            head = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
+            size = int(head["content-length"])
+            self.wanted = end + 8 + size
+            if len(self.held) < self.wanted:
+                self.wanted -= 1
+                return
+            block = bytes(self.held[end + 4 : end + 4 + size])
+            if self.held[end + 4 + size : self.wanted] != b"\r\n\r\n":
+                raise ValueError(f"{self.name}: {head['warc-record-id']} doesn't end where its length says")
+            del self.held[: self.wanted]
+            self.wanted = 0
+            yield self._row(head, block)
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError(f"{self.name}: its last record is cut short")
+
+    def _row(self, head: dict, block: bytes) -> tuple:
         kind, n, digest, page, refers, payload = head["warc-type"], None, None, None, None, None
         if kind in ("response", "revisit"):
             http, _, payload = block.partition(b"\r\n\r\n")
@@ -93,28 +121,44 @@ def parse_archive(data: bytes, with_payload: bool = True):
             if kind == "response":
                 n = len(payload)
                 if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                    raise ValueError(f"payload of {head['warc-record-id']} doesn't have its digest")
+                    raise ValueError(f"{self.name}: payload of {head['warc-record-id']} doesn't have its digest")
             else:
                 payload = None
         elif kind == "metadata":
             fields = dict(x.split(": ", 1) for x in block.decode().split(CRLF) if x)
             page, refers = (int(v) if (v := fields.get(k)) else None for k in ("pageId", "refersToPage"))
-        yield kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-target-uri"), n, digest, page, refers, payload if with_payload else None
+        return kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-target-uri"), n, digest, page, refers, payload if self.with_payload else None
+
+
+def parse_archive(data: bytes, with_payload: bool = True):
+    """Rows of RECORD of one whole archive; gzip streams, of one or many members, or plain."""
+    archive = Archive("archive", with_payload)
+    yield from archive.feed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    archive.close()
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record; a task holds one archive at a time."""
+    """One row per record of gzip archives (.gz, which Spark doesn't split). Spark reads and unpacks them in pieces that end where records mostly do;
+    a task holds a batch of pieces and one record."""
 
     def parse(batches):
-        out = Rows(RECORD)
-        for batch in batches:
-            for data in batch.column("content"):
-                for row in parse_archive(data.as_py(), with_payload):
-                    if out.add(*row, weight=400 + len(row[-1] or b"")):
-                        yield out.take()
+        out, archive = Rows(RECORD), None
+        for name, piece in rows_of(batches, "name", "piece"):
+            if archive is None or archive.name != name:
+                if archive:
+                    archive.close()
+                archive = Archive(name, with_payload)
+            else:
+                piece = NEXT.encode() + piece
+            for row in archive.feed(piece):
+                if out.add(*row, weight=400 + len(row[-1] or b"")):
+                    yield out.take()
+        if archive:
+            archive.close()
         yield out.take()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD_DDL)
+    pieces = spark.read.option("lineSep", NEXT).text(path).select(F.col("_metadata.file_path").alias("name"), F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInArrow(parse, RECORD_DDL)
 
 
 def captures(records: DataFrame) -> DataFrame:
