@@ -110,26 +110,28 @@ def _blocks(members: DataFrame, group: list[str]) -> DataFrame:
     return members.join(counted, group).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int"))
 
 
-def _asks(shared: DataFrame, at: DataFrame, num: int, den: int) -> DataFrame:
-    """(k, home, part): the groups that a set has to query. at(k, part, root): a group is one home's sets of a part; root is the component that a set belongs to so far.
+def _asks(rooted: DataFrame, num: int, den: int, crowded: DataFrame | None = None) -> DataFrame:
+    """(k, home): the homes that a set has to query; with `crowded`(home), (k, home, part) of these homes alone. rooted(k, n, pos, token, home, part, root):
+    the candidates, the part of its home that each set lives in, and the component that it belongs to so far.
 
-    The matrix has a row for each shingle and home or group that go together, with the sizes of its sets: the token unions. A set queries groups of other
-    components alone, that come before its own, as the other side covers the rest, and only where the union holds enough of its shingles and
+    The matrix has a row for each shingle and home, or part, that go together, with the sizes of its sets: the token unions. A set queries only where sets of other
+    components are, that come before its own, as the other side covers the rest, and only where the union holds enough of its shingles and
     enough rows allow a link: neither size may be below the similarity times the other, and the first shingle must stand early enough in the prefix for the
-    overlap to be reached. Homes are asked first, and the groups of those that are left next; no text moves for either."""
+    overlap to be reached. No text moves for it."""
     need, n = least_common(num, den), F.col("n")
-    small, large = F.min("n").alias("small"), F.max("n").alias("large")
     partner = F.greatest(F.col("small"), F.ceil(n * num / den).cast("long"))  # the least size that could link
     early = (n - F.col("pos")) * (num + den) >= (n + partner) * num
-    fits = (partner <= F.col("large")) & (F.col("small") * num <= n * den)
+    fits = (partner <= F.col("large")) & (F.col("small") * num <= n * den) & ((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root")))
     enough = lambda rows, *keys: rows.groupBy(*keys).agg(F.count_distinct("token").alias("c"), F.max(early).alias("early")).filter((F.col("c") >= need) & F.col("early")).select(*keys)
-    rooted = saved(shared.join(at, "k"))
-    homes = rooted.groupBy("token", F.col("home").alias("other")).agg(small, large, F.min("root").alias("r0"), F.max("root").alias("r1"))
-    asks = rooted.join(saved(homes), "token").filter((F.col("other") <= F.col("home")) & fits & ((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root"))))
-    asks = saved(enough(asks, "k", "other"))
-    groups = saved(rooted.groupBy("token", F.col("home").alias("other"), F.col("part").alias("of")).agg(small, large, F.first("root").alias("r")))
-    again = rooted.join(asks, "k").join(groups, ["token", "other"]).filter((F.col("r") != F.col("root")) & ((F.col("other") < F.col("home")) | (F.col("of") < F.col("part"))) & fits)
-    return enough(again, "k", "other", "of").select("k", F.col("other").alias("home"), F.col("of").alias("part"))
+    unions = lambda rows, *keys: saved(rows.groupBy("token", *keys).agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("root").alias("r0"), F.max("root").alias("r1")))
+    held = rooted.withColumnsRenamed({"home": "other", "part": "of"})
+    if crowded is None:
+        asks = rooted.join(unions(held, "other"), "token").filter((F.col("other") < F.col("home")) & fits)
+        return enough(asks, "k", "other").withColumnRenamed("other", "home")
+    held = held.join(F.broadcast(crowded.select(F.col("home").alias("other"))), "other")
+    asks = saved(enough(rooted.join(unions(held, "other"), "token").filter((F.col("other") <= F.col("home")) & fits), "k", "other"))
+    again = rooted.join(asks, "k").join(unions(held, "other", "of"), ["token", "other"]).filter(((F.col("other") < F.col("home")) | (F.col("of") < F.col("part"))) & fits)
+    return enough(again, "k", "other", "of").withColumnsRenamed({"other": "home", "of": "part"})
 
 
 def _overlaps(queries: list[np.ndarray], members: list[np.ndarray], union: np.ndarray) -> np.ndarray:
@@ -188,8 +190,9 @@ def _local_components(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den: int, one: bool = False):
-    """Edges that connect what links within the members and between visitors and members; not every link is listed. one: the members are connected already."""
+def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den: int, roots: list[int] | None = None):
+    """Edges that connect what links within the members and between visitors and members; not every link is listed. With the roots of the
+    members, these have been compared already, and one of each component stands for it."""
     ids, sets = [i for i, _ in members], [s for _, s in members]
     union = np.unique(np.concatenate(sets))
     sizes = np.array([len(s) for s in sets])
@@ -205,11 +208,14 @@ def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den:
             out[opened] = den * both >= num * (n[opened, None] + sizes - both)
         return out
 
-    label = np.zeros(len(sets), np.int64) if one else _local_components(links(sets))
-    if not one:
+    if roots is None:
+        label = _local_components(links(sets))
         for i, c in enumerate(label):
             if c != i:
                 yield ids[i], ids[c]
+    else:
+        _, first, number = np.unique(roots, return_index=True, return_inverse=True)
+        label = first[number]
     for block in visitors:
         found = links([s for _, s in block])
         for (i, _), row in zip(block, found, strict=True):
@@ -217,15 +223,16 @@ def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den:
                 yield i, ids[c]
 
 
-def _compared(bodies: DataFrame, visits: DataFrame, k: int, num: int, den: int, one: bool) -> DataFrame:
-    """(a, b): the edges of the groups of visits(gid, sid, key, role); role 0 are the members, 1 those that query them. bodies(key, blob) are the texts."""
-    placed = bodies.join(saved(visits.groupBy("key").agg(F.collect_set(F.struct("gid", "sid", "role")).alias("v"))), "key").select("blob", F.explode("v").alias("v"))
-    dealt = placed.select("v.gid", "v.role", "v.sid", "blob").repartition(parts(visits.sparkSession), "gid").sortWithinPartitions("gid", "role", "sid")
+def _compared(bodies: DataFrame, visits: DataFrame, k: int, num: int, den: int, known: bool) -> DataFrame:
+    """(a, b): the edges of the groups of visits(gid, sid, key, role, root); role 0 are the members, 1 those that query them. known: members have been
+    compared with each other. bodies(key, blob) are the texts."""
+    placed = bodies.join(saved(visits.groupBy("key").agg(F.collect_set(F.struct("gid", "sid", "role", "root")).alias("v"))), "key").select("blob", F.explode("v").alias("v"))
+    dealt = placed.select("v.*", "blob").repartition(parts(visits.sparkSession), "gid").sortWithinPartitions("gid", "role", "sid")
 
     def compare(batches):
         out = Rows(EDGES)
         held = {"row": None}
-        rows = rows_of(batches, "gid", "role", "sid", "blob")
+        rows = rows_of(batches, "gid", "role", "sid", "root", "blob")
 
         def ahead():
             if held["row"] is None:
@@ -235,7 +242,7 @@ def _compared(bodies: DataFrame, visits: DataFrame, k: int, num: int, den: int,
         def take(gid, role, most):
             got, weight = [], 0
             while (r := ahead()) and r[0] == gid and r[1] == role and len(got) < most and weight < 2 * SHINGLES:
-                got.append((r[2], shingle_set(unpacked(r[3]).decode(), k)))
+                got.append((r[2], shingle_set(unpacked(r[4]).decode(), k), r[3]))
                 weight += len(got[-1][1])
                 held["row"] = None
             return got
@@ -244,8 +251,8 @@ def _compared(bodies: DataFrame, visits: DataFrame, k: int, num: int, den: int,
             gid, members = r[0], []
             while more := take(gid, 0, BLOCK):
                 members += more
-            blocks = iter(lambda g=gid: take(g, 1, BLOCK), [])
-            for a, b in group_edges(members, blocks, num, den, one):
+            blocks = ([x[:2] for x in b] for b in iter(lambda g=gid: take(g, 1, BLOCK), []))
+            for a, b in group_edges([x[:2] for x in members], blocks, num, den, [x[2] for x in members] if known else None):
                 if a != b and out.add(a, b):
                     yield out.take()
         yield out.take()
@@ -257,8 +264,9 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
     """(a, b) of sids: enough of the links to connect all that are linked.
 
     First the sets of a home are compared in blocks, and one of each connected part goes on to a next round, until a home's last ones fill one block or nothing
-    connects any more: very many near copies shrink by a block's size each round, and never meet in pairs. Then each set queries the groups that belong to
-    other components; within a component nothing is left to find."""
+    connects any more: very many near copies shrink by a block's size each round, and never meet in pairs. Then each set queries the homes where other components
+    may link with it, of a crowded one a single part: most often it connects. What other components are left in crowded homes is queried last, part by
+    part, where sets of one component share parts."""
     spark = docs.sparkSession
 
     def blobs(batches):
@@ -271,6 +279,14 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
                     yield out.take()
         yield out.take()
 
+    def grown(edges):
+        return living.join(components(edges), F.col("sid") == F.col("node"), "left").select(*living.columns, F.coalesce("root", "sid").alias("root"))
+
+    def visits(members, queries, group):
+        gid = F.xxhash64(*group).alias("gid")
+        asked = queries.select("k", gid).join(living.select("k", "sid", "key"), "k").select("gid", "sid", "key", F.lit(1).alias("role"), F.lit(0).cast("long").alias("root"))
+        return saved(members.select(gid, "sid", "key", F.lit(0).alias("role"), "root").unionByName(asked))
+
     shared = _candidates(sets, num, den)
     named = texts.select("sid", "key", "n", F.xxhash64("sig").alias("k"))
     living = saved(shared.select("k", "home").distinct().join(named, "k").select("k", "home", "sid", "key", "n"))
@@ -283,29 +299,27 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
         if not now or now == size:
             break
         size = now
-        found = _compared(bodies, dealt.select(F.xxhash64("home", "block").alias("gid"), "sid", "key", F.lit(0).alias("role")), k, num, den, False)
+        found = _compared(bodies, visits(dealt.withColumn("root", F.lit(0).cast("long")), dealt.limit(0), ["home", "block"]), k, num, den, False)
         edges = found if edges is None else edges.unionByName(found)
-        members = dealt.filter("blocks > 1").select("k", "home", "sid", "key", "n").join(found.select(F.col("a").alias("sid")).distinct(), "sid", "left_anti")
+        members = dealt.filter("blocks > 1").select(*living.columns).join(found.select(F.col("a").alias("sid")).distinct(), "sid", "left_anti")
     if edges is None:
         return spark.createDataFrame([], "a long, b long")
-    gid, group = F.xxhash64("home", "part", "block").alias("gid"), ["home", "part"]
-    at, done = living.select("k", "home", "sid", "key", "n"), None
-    for first in (True, False):  # of a group of many blocks one is queried first: most often it connects, and the others have nothing left to find
-        root = F.coalesce("root", "sid")
-        at = at.drop("root").join(components(edges), F.col("sid") == F.col("node"), "left").withColumn("root", root).drop("node")
-        at = saved(at.withColumn("part", F.col("root")) if first else at)
-        asks = _asks(shared, at.select("k", "part", "root"), num, den)
-        asks = saved(asks if first else asks.join(done, group, "left_semi"))
-        groups = saved(_blocks(at.join(asks.select(*group).distinct(), group), group))
-        blocks = groups.select(*group, "blocks").distinct()
-        which = F.col("block") == 0 if first else F.col("block") > 0
-        queries = asks.join(blocks, group).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(which)
-        visits = groups.filter(which).select(gid, "sid", "key", F.lit(0).alias("role")).unionByName(queries.select("k", gid).join(at.select("k", "sid", "key"), "k").select("gid", "sid", "key", F.lit(1).alias("role")))
-        edges = edges.unionByName(_compared(bodies, saved(visits), k, num, den, True))
-        done = saved(blocks.filter("blocks > 1").select(*group))
-        if done.isEmpty():
-            break
-    return edges
+    at = _blocks(grown(edges), ["home"]).withColumn("bucket", F.pmod(F.xxhash64("root"), F.col("blocks"))).select(*living.columns, "root", "bucket", (F.col("blocks") > 1).alias("crowded"))
+    at = saved(_blocks(at, ["home", "bucket"]).withColumn("part", F.shiftleft("bucket", 20) + F.col("block")).select(*living.columns, "root", "crowded", "part"))
+    rooted = saved(shared.join(at.select("k", "part", "root"), "k"))
+    asks = saved(_asks(rooted, num, den))
+    first = at.groupBy("home").agg(F.min("part").alias("part"))
+    near = at.join(asks.select("home").distinct(), "home").join(first, ["home", "part"])
+    edges = edges.unionByName(_compared(bodies, visits(near, asks, ["home"]), k, num, den, True))
+    crowded = saved(at.filter("crowded").select("home").distinct())
+    if crowded.isEmpty():
+        return edges
+    at = saved(at.drop("root").join(grown(edges).select("k", "root"), "k"))
+    rooted = saved(shared.join(at.select("k", "part", "root"), "k"))
+    asks = saved(_asks(rooted, num, den, crowded))
+    mixed = at.filter("crowded").groupBy("home", "part").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("home", "part")
+    near = at.join(asks.select("home", "part").unionByName(mixed).distinct(), ["home", "part"])
+    return edges.unionByName(_compared(bodies, visits(near, asks, ["home", "part"]), k, num, den, False))
 
 
 def components(edges: DataFrame) -> DataFrame:
