@@ -11,7 +11,7 @@ from .common import saved
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3  # words of the shingles that windows are found by
-BROADCAST_TEXTS = 20_000  # texts with candidates that are broadcast at most
+BROADCAST_CANDIDATES = 200_000  # places to look at in texts, of some 20 bytes each, that are broadcast at most
 BROADCAST_WINDOWS = 1_000_000  # shingles or windows, of some 20 bytes each, that are broadcast at most
 
 
@@ -39,6 +39,14 @@ def shingles(words: Column, k: int) -> Column:
     return F.transform(some, lambda w, i: F.xxhash64(w, *(F.element_at(words, i + j + 1) for j in range(1, k))))
 
 
+def _spread(words: DataFrame, k: int) -> DataFrame:
+    """words(key, words) -> key, len, pos, token: the same hashes, a row each; generated code all through, unlike a lambda."""
+    w, names = F.col("words"), [f"w{j}" for j in range(k)]
+    zipped = F.arrays_zip(*(F.slice(w, F.lit(j + 1), F.size(w)).alias(n) for j, n in enumerate(names)))
+    rows = words.select("key", F.size(w).alias("len"), F.posexplode(zipped).alias("pos", "x")).filter(F.col("pos") + k <= F.col("len"))
+    return rows.select("key", "len", "pos", F.xxhash64(*(F.col("x")[n] for n in names)).alias("token"))
+
+
 def _small(df: DataFrame, n: int) -> DataFrame:
     """The benchmark's side of a join: broadcast up to a counted number of rows, each of a fixed size, else left to a shuffled join."""
     return F.broadcast(df) if n <= BROADCAST_WINDOWS else df
@@ -60,7 +68,7 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[Data
     words = docs.select(text_sha(F.col("text")).alias("key"), bench_words(F.col("text")).alias("words"))
     seen = None
     for k in lengths or [1]:
-        spread = words.select("key", F.size("words").alias("len"), F.posexplode(shingles(F.col("words"), k)).alias("pos", "token"))
+        spread = _spread(words, k)
         seen = spread if seen is None else seen.unionByName(spread)
     hits = saved(seen.join(_small(vocabulary, vocabulary.count()), "token").select("key", "len", "pos", "token"))
     counts = saved(hits.groupBy("token").agg(F.count(F.lit(1)).alias("count")))
@@ -69,7 +77,8 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = 10) -> tuple[Data
     start = F.col("pos") - F.col("off")
     found = hits.join(_small(prefix, prefix.count()), "token").filter((start >= 0) & (start + F.col("n") <= F.col("len")))
     found = saved(found.groupBy("key").agg(F.collect_set(F.struct("wid", start.alias("a"), "n")).alias("found")))
-    here = words.join(F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found, "key").dropDuplicates(["key"])
+    places = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+    here = words.join(F.broadcast(found) if places <= BROADCAST_CANDIDATES else found, "key").dropDuplicates(["key"])
     cuts = F.transform("found", lambda x: F.struct(x["wid"], x["a"], F.slice("words", x["a"] + 1, x["n"]).alias("win")))
     whole = here.select("key", F.explode(cuts).alias("x")).select("key", "x.wid", "x.a", "x.win").join(wins, ["wid", "win"])
     return saved(whole.select("key", "wid", "a", (F.col("a") + F.col("n")).alias("b"))), owners
