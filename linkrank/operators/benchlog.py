@@ -54,6 +54,42 @@ def share_speedups(best: DataFrame) -> DataFrame:
     return h.join(base, ["graph", "precision"]).select("graph", "precision", "cpu_share", F.try_divide("t0", "t").alias("speedup"))
 
 
+def real_gains(curve: DataFrame, least: float = 1.1) -> DataFrame:
+    """Graphs whose hybrid runs gain more than `least` at some share: the others' curves aren't drawn."""
+    return curve.join(curve.groupBy("graph", "precision").agg(F.max("speedup").alias("top")).filter(F.col("top") > least).select("graph", "precision"), ["graph", "precision"], "left_semi")
+
+
+def measured(best: DataFrame, builds: list[str]) -> DataFrame:
+    """build, measured: whether there is any run of each."""
+    asked = best.sparkSession.createDataFrame([(b,) for b in builds], "build string")
+    return asked.join(best.select("build").distinct().withColumn("measured", F.lit(True)), "build", "left").select("build", F.coalesce("measured", F.lit(False)).alias("measured"))
+
+
+def ns_per_edge(runs: DataFrame) -> DataFrame:
+    """Nanoseconds that the fastest run of each configuration takes for an edge of an iteration."""
+    one = F.try_divide(F.col("seconds_total") * 1e9, F.col("iterations") * F.col("edges"))
+    return runs.groupBy(*CONFIG).agg(F.min(one).alias("ns_per_edge"))
+
+
+def decimal_comma(x: Column) -> Column:
+    return F.regexp_replace(F.format_string("%.2f", x), r"\.", ",")
+
+
+def percent(x: Column) -> Column:
+    return F.format_string("%.0f%%", x * 100)
+
+
+def shortest(x: Column) -> Column:
+    """A number without needless zeros."""
+    return F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
+
+
+def printed_table(table: DataFrame, missing: str = "-") -> DataFrame:
+    """Every number with four decimals, nulls as a dash."""
+    shown = lambda f: F.coalesce(F.format_string("%.4f", f.name) if f.dataType.typeName() == "double" else F.col(f.name).cast("string"), F.lit(missing))
+    return table.select(*(shown(f).alias(f.name) for f in table.schema.fields))
+
+
 def best_share(curve: DataFrame, least_gain: float = 1.01) -> DataFrame:
     """The best share and its gain, null unless it gains enough."""
     top = F.max(F.struct("speedup", (-F.col("cpu_share")).alias("neg")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import PageRankParams
-from .graph import Graph
+from .graph import Graph, renumbered
 
 LABELS = ("host", "thread", "warp", "block")
 
@@ -43,8 +43,13 @@ def class_shares(rows: DataFrame, labels=LABELS) -> DataFrame:
 
 
 def grouped_rows(rows: DataFrame) -> DataFrame:
-    """class, pos, id: rows in id order within each class, numbered from 0."""
-    return rows.select("class", (F.row_number().over(Window.partitionBy("class").orderBy("id")) - 1).cast("long").alias("pos"), "id")
+    """class, pos, id: rows in id order within each class, numbered from 0; none where all rows are of the thread class, which needs no lists. No task sees
+    a whole class: rows are numbered over all, and each class's first number is taken off."""
+    if rows.filter("class <> 'thread'").isEmpty():
+        rows = rows.limit(0)
+    numbered = renumbered(rows.select("class", "id"), ["class", "id"], "number")
+    first = numbered.groupBy("class").agg(F.min("number").alias("first"))
+    return numbered.join(F.broadcast(first), "class").select("class", (F.col("number") - F.col("first")).alias("pos"), "id")
 
 
 def split_gather(edges: DataFrame, contrib: DataFrame, rows: DataFrame) -> DataFrame:
@@ -60,6 +65,8 @@ def split_gather(edges: DataFrame, contrib: DataFrame, rows: DataFrame) -> DataF
 
 
 def host_predecessors(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """Distinct sources of edges into host rows."""
+    """Distinct sources of edges into host rows, and their share of all nodes."""
     ids = rows.filter("class = 'host'").select(F.col("id").alias("dst"))
-    return edges.join(ids, "dst", "left_semi").agg(F.count_distinct("src").alias("predecessors"))
+    found = edges.join(ids, "dst", "left_semi").select("src").distinct().agg(F.count(F.lit(1)).alias("predecessors"))
+    share = F.round(F.try_divide(F.col("predecessors").cast("double"), F.col("n")), 9).alias("share")
+    return found.join(rows.agg(F.count(F.lit(1)).alias("n"))).select("predecessors", share)

@@ -55,9 +55,15 @@ def edge_stats(raw: DataFrame, drop_self_loops: bool = False) -> DataFrame:
     )
 
 
-def renumbered(ids: DataFrame, by: str = "id", name: str = "node") -> DataFrame:
-    """0-based rank of each id, ascending, without one task for all: range partitions, places in them, and a sum of partition counts."""
-    placed = saved(ids.repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.monotonically_increasing_id()))
+def convert_stats(raw: DataFrame, drop_self_loops: bool = False) -> DataFrame:
+    """What a conversion reports, in one row: edge_stats and graph_info."""
+    return edge_stats(raw, drop_self_loops).join(graph_info(from_edges(raw, drop_self_loops)))
+
+
+def renumbered(ids: DataFrame, by: str | list[str] = "id", name: str = "node") -> DataFrame:
+    """0-based place of each row in ascending order, without one task for all: range partitions, places in them, and a sum of partition counts."""
+    by = [by] if isinstance(by, str) else by
+    placed = saved(ids.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.monotonically_increasing_id()))
     part = F.shiftright("__p", 33)
     before, first = 0, []
     for p, c in sorted(placed.groupBy(part.alias("p")).count().collect()):  # as many rows as partitions
@@ -68,13 +74,14 @@ def renumbered(ids: DataFrame, by: str = "id", name: str = "node") -> DataFrame:
     return placed.join(F.broadcast(starts), part == F.col("__part")).withColumn(name, at).drop("__p", "__part", "__first")
 
 
-def reindexed(graph: Graph) -> DataFrame:
-    """edges(src, dst) over 0-based node numbers."""
-    ids = saved(renumbered(graph.vertices.select("id")))
-    src = ids.withColumnsRenamed({"id": "s", "node": "src_node"})
-    dst = ids.withColumnsRenamed({"id": "d", "node": "dst_node"})
+def indexed(graph: Graph) -> tuple[Graph, DataFrame]:
+    """The graph over 0-based node numbers, written out, and (node, id)."""
+    numbered = saved(renumbered(graph.vertices))
+    ids = numbered.select("node", "id")
+    src, dst = ids.withColumnsRenamed({"id": "s", "node": "src_node"}), ids.withColumnsRenamed({"id": "d", "node": "dst_node"})
     e = graph.edges
-    return e.join(src, e["src"] == src["s"]).join(dst, e["dst"] == dst["d"]).select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    edges = e.join(src, e["src"] == src["s"]).join(dst, e["dst"] == dst["d"]).select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    return Graph(numbered.select(F.col("node").alias("id"), "out_deg", "in_deg"), saved(edges)), ids
 
 
 def row_pointers(graph: Graph) -> DataFrame:
@@ -104,6 +111,11 @@ def graph_info(graph: Graph, thread_max: int = 16, warp_max: int = 256) -> DataF
     )
 
 
+def longest_row_share(graph: Graph) -> DataFrame:
+    """How much of all edges the longest row has, in percent; null without edges."""
+    return graph.vertices.agg(F.round(F.try_divide(F.lit(100.0) * F.max("in_deg"), F.sum("in_deg")), 6).alias("longest_row_pct"))
+
+
 def degree_histogram(graph: Graph) -> DataFrame:
     return graph.vertices.filter("in_deg > 0").groupBy("in_deg").agg(F.count(F.lit(1)).alias("n"))
 

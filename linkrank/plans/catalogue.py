@@ -7,29 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import benchlog, classes, graph, locality, pagerank, trace, verify
 from ..params import PageRankParams
+from .sql import RAW, SEQ, graph_sql, ranks_sql
+from .stored import STORED
+from .tables import mixed, part_seq, table
 
 PARAMS = PageRankParams()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def part_seq(spark: SparkSession, d: str) -> DataFrame:
-    """Each part of an order to the next one."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).filter("dst is not null")
-
-
-def mixed(spark: SparkSession, d: str) -> DataFrame:
-    """Parts to next parts, parts to suppliers, customers to parts; ids are told apart by their remainder by 3."""
-    items = table(spark, d, "lineitem")
-    seq = part_seq(spark, d).select((F.col("src") * 3).alias("src"), (F.col("dst") * 3).alias("dst"))
-    supply = items.select((F.col("l_partkey") * 3).alias("src"), (F.col("l_suppkey") * 3 + 1).alias("dst"))
-    bought = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 3 + 2).alias("src"), (F.col("l_partkey") * 3).alias("dst"))
-    return seq.unionByName(supply).unionByName(bought)
-
-
 def mixed_graph(spark: SparkSession, d: str, keep: bool = False) -> graph.Graph:
     return graph.from_edges(mixed(spark, d), keep=keep)
 
@@ -46,31 +30,6 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-RAW = """select s, d from (
-  select l_partkey*3 as s, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)*3 as d from lineitem
-  union all select l_partkey*3, l_suppkey*3+1 from lineitem
-  union all select o_custkey*3+2, l_partkey*3 from orders join lineitem on o_orderkey = l_orderkey
-) where d is not null"""
-SEQ = "select s, d from (select l_partkey s, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) d from lineitem) where d is not null"
-
-
-def graph_sql(raw: str = RAW) -> str:
-    return f"""with recursive raw as ({raw}), e as materialized (select distinct s, d from raw), n as (select s id from e union select d from e),
-v as materialized (select n.id, coalesce(o.c, 0)::bigint od, coalesce(i.c, 0)::bigint idg, count(*) over ()::double nn,
-  row_number() over (order by n.id) - 1 node from n left join (select s id, count(*) c from e group by 1) o using (id)
-  left join (select d id, count(*) c from e group by 1) i using (id))"""
-
-
-def ranks_sql(iters: int = 100, damping: float = 0.85, raw: str = RAW, stop: str = "l1 < 1e-6") -> str:
-    """pr(it, id, r), err(it, l1) and stop(it)."""
-    return graph_sql(raw) + f""", pr(it, id, r) as (select 0, id, 1.0::double/nn from v union all
-  select x.it+1, v.id, (1-{damping})::double/v.nn + {damping}::double*x.dang/v.nn + {damping}::double*coalesce(y.sm, 0)
-  from v cross join (select max(p.it) it, coalesce(sum(p.r) filter (w.od=0), 0) dang from pr p join v w using (id)) x
-  left join (select e.d id, sum(p.r/w.od) sm from pr p join v w using (id) join e on e.s=p.id group by 1) y on y.id=v.id where x.it < {iters}),
-err as (select b.it, sum(abs(b.r-a.r)) l1 from pr a join pr b on b.id=a.id and b.it=a.it+1 group by 1),
-stop as (select coalesce(min(it) filter ({stop}), max(it)) it from err)"""
-
-
 RUNS = """select event_type graph, case user_id % 3 when 0 then 'seq' when 1 then 'omp' else 'hybrid' end build, 'double' "precision",
   case user_id % 3 when 1 then (1::bigint << (user_id % 5)::int)::int else 1 end threads, case user_id % 3 when 2 then (user_id % 5) / 4.0::double else 1.0::double end cpu_share,
   value seconds_total, (user_id % 7)::int iterations, event_id line_no from events"""
@@ -94,7 +53,7 @@ def _stats(spark, d):
 
 
 def _state(spark, d):
-    g = mixed_graph(spark, d)
+    g = mixed_graph(spark, d, True)
     n = g.vertices.count()
     return g, g.vertices.select("id", "out_deg", F.lit(1.0 / n).alias("rank")), n
 
@@ -110,7 +69,7 @@ def _spmv(spark, d, split=False):
 
 
 def _thresholds(spark, d):
-    g, out = mixed_graph(spark, d), None
+    g, out = mixed_graph(spark, d, True), None
     for share in (0.0, 0.05, 0.25, 0.5, 1.0):
         row = classes.host_threshold(g, share).select(F.lit(share).alias("share"), "min_len", "host_edges")
         out = row if out is None else out.unionByName(row)
@@ -118,7 +77,12 @@ def _thresholds(spark, d):
 
 
 def _indexed(spark, d):
-    return graph.reindexed(mixed_graph(spark, d))
+    return graph.indexed(mixed_graph(spark, d, True))[0]
+
+
+def _lines(spark, d, size):
+    g = _indexed(spark, d)
+    return locality.distinct_lines(g.edges, g.vertices.count(), size)
 
 
 def _two_ranks(spark, d):
@@ -130,13 +94,13 @@ def _max_diff(spark, d):
     a, b = _two_ranks(spark, d)
     a, b = (x.select("id", F.round("rank", 10).alias("rank")) for x in (a, b))
     w = verify.worst_difference(a, b)
-    return w.select(F.round("max_diff", 10).alias("max_diff"), "only_got", "only_want")
+    return w.select(F.round("max_diff", 10).alias("max_diff"), "at_id", "only_got", "only_want")
 
 
 def _order(spark, d):
     a, b = _two_ranks(spark, d)
     o = verify.order_differences(a, b, 100, 10)
-    return o.select("differing", "missing", F.round("max_value_diff", 9).alias("max_value_diff"))
+    return o.select("differing", "missing", F.round("worst_gap", 9).alias("worst_gap"), F.round("max_value_diff", 9).alias("max_value_diff"))
 
 
 def _checks(spark, d):
@@ -144,6 +108,22 @@ def _checks(spark, d):
     return verify.verify(a, b).select("check", "ok")
 
 
+def _reference(spark, d):
+    g = graph.from_edges(part_seq(spark, d), keep=True)
+    want, name = verify.reference(g, PARAMS)
+    got, stats, _ = pagerank.pagerank(g, PageRankParams(tol=1e-12, max_iters=200))
+    return verify.verify(got, want, converged=stats.converged).filter("check = 'all_values'").select("check", "ok", F.lit(name).alias("against"))
+
+
+def _hybrid(spark, d):
+    return pagerank.pagerank(mixed_graph(spark, d, True), PageRankParams(host_share=0.25), hybrid=True)
+
+
+def _hybrid_stats(spark, d):
+    s = _hybrid(spark, d)[1]
+    return spark.createDataFrame([(s.iterations, s.host_rows, s.host_edges, s.host_min_len)], "iterations int, host_rows long, host_edges long, host_min_len long")
+
+
 def _calls(spark, d):
     """Events as calls of one trace per user: a purchase launches an iteration."""
     return table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), F.col("event_id").alias("correlationId"), "event_type", "value")
@@ -188,11 +168,14 @@ def _rounded(df, *columns):
     return df.select(*(F.round(c, 9).alias(c) if c in columns else c for c in df.columns))
 
 
-STAT_COLUMNS = "nodes edges dangling no_in_edges max_in_deg max_out_deg max_in_node"
 G = graph_sql()
 BINS = "case when idg <= 16 then 'thread' when idg <= 256 then 'warp' else 'block' end"
 
 
+INFO = """ select count(*) nodes, sum(idg)::bigint edges, count(*) filter (od = 0) dangling, count(*) filter (idg = 0) no_in_edges, max(idg) max_in_deg, max(od) max_out_deg,
+  min(id) filter (idg = (select max(idg) from v)) max_in_node, """ + ", ".join(f"count(*) filter ({BINS} = '{b}') {b}_rows, coalesce(sum(idg) filter ({BINS} = '{b}'), 0)::bigint {b}_edges" for b in ("thread", "warp", "block")) + " from v"
+
+
 def host_cte(share: float, name: str = "h") -> str:
     return f"""{name}a as (select idg len, sum(idg) e from v where idg > 0 group by 1), {name}c as (select *, sum(e) over (order by len desc) cum, sum(e) over () m from {name}a),
 {name} as (select {share}::double share, coalesce(max(len) filter (cum > {share}::double*m) + 1, 1)::bigint min_len, coalesce(sum(e) filter (cum <= {share}::double*m), 0)::bigint host_edges from {name}c)"""
@@ -227,15 +210,11 @@ select id, (select count(*) from e where s = id)::bigint out_deg, (select count(
     ),
     "rows_exploded": (lambda s, d: graph.adjacency(graph.from_edges(part_seq(s, d))).select(F.explode("in_nbrs").alias("src"), "dst"), f"select distinct s src, d dst from ({SEQ})"),
     "validate_graph": (
-        lambda s, d: graph.validate(mixed_graph(s, d)),
+        lambda s, d: graph.validate(mixed_graph(s, d, True)),
         G + """ select * from (select unnest(['nodes_positive','row_end_is_edges','out_degrees_sum_to_edges','row_lengths_not_negative','sources_known','edges_unique']) "check",
   true ok, unnest([count(*), sum(idg)::bigint, sum(od)::bigint, min(idg), 0, 0]) measured from v)""",
     ),
-    "graph_info": (
-        lambda s, d: graph.graph_info(mixed_graph(s, d)),
-        G + f""" select count(*) nodes, sum(idg)::bigint edges, count(*) filter (od = 0) dangling, count(*) filter (idg = 0) no_in_edges, max(idg) max_in_deg, max(od) max_out_deg,
-  min(id) filter (idg = (select max(idg) from v)) max_in_node, """ + ", ".join(f"count(*) filter ({BINS} = '{b}') {b}_rows, coalesce(sum(idg) filter ({BINS} = '{b}'), 0)::bigint {b}_edges" for b in ("thread", "warp", "block")) + " from v",
-    ),
+    "graph_info": (lambda s, d: graph.graph_info(mixed_graph(s, d)), G + INFO),
     "row_class_histogram": (
         lambda s, d: classes.class_shares(classes.classified(mixed_graph(s, d), PARAMS), ("thread", "warp", "block")),
         G + f""", t as (select unnest(['thread','warp','block']) class), x as (select {BINS} class, count(*) r, sum(idg)::bigint e from v group by 1)
@@ -265,35 +244,57 @@ select class, coalesce(r, 0)::bigint "rows", coalesce(e, 0)::bigint edges, round
         G + ", " + ", ".join(host_cte(x, f"h{i}") for i, x in enumerate((0.0, 0.05, 0.25, 0.5, 1.0))) + " " + " union all ".join(f"select share, min_len, host_edges from h{i}" for i in range(5)),
     ),
     "row_class_with_share": (
-        lambda s, d: classes.classified(mixed_graph(s, d), PARAMS, 0.25).groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.sum("in_deg").alias("edges")),
+        lambda s, d: classes.classified(mixed_graph(s, d, True), PARAMS, 0.25).groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.sum("in_deg").alias("edges")),
         G + f', {host_cte(0.25)}, {CLASS} select class, count(*) "rows", sum(idg)::bigint edges from c group by 1',
     ),
-    "group_rows": (lambda s, d: classes.grouped_rows(classes.classified(mixed_graph(s, d), PARAMS, 0.25)), G + f", {host_cte(0.25)}, {CLASS} select class, row_number() over (partition by class order by id) - 1 pos, id from c"),
+    "group_rows": (lambda s, d: classes.grouped_rows(classes.classified(mixed_graph(s, d, True), PARAMS, 0.25)), G + f", {host_cte(0.25)}, {CLASS} select class, row_number() over (partition by class order by id) - 1 pos, id from c"),
     "host_predecessors": (
-        lambda s, d: classes.host_predecessors((g := mixed_graph(s, d)).edges, classes.classified(g, PARAMS, 0.25)),
-        G + f", {host_cte(0.25)}, {CLASS} select count(distinct s) predecessors from e join c on c.id = e.d where class = 'host'",
+        lambda s, d: classes.host_predecessors((g := mixed_graph(s, d, True)).edges, classes.classified(g, PARAMS, 0.25)),
+        G + f", {host_cte(0.25)}, {CLASS} select count(distinct s) predecessors, round(count(distinct s)::double/(select count(*) from v), 9) share from e join c on c.id = e.d where class = 'host'",
+    ),
+    "longest_row": (lambda s, d: graph.longest_row_share(mixed_graph(s, d)), G + " select round(100.0::double*max(idg)/sum(idg), 6) longest_row_pct from v"),
+    "hybrid_ranks": (lambda s, d: _hybrid(s, d)[0].select("id", F.round("rank", 10).alias("rank")), ranks_sql() + " select id, round(r, 10) rank from pr where it = (select it from stop)"),
+    "hybrid_stats": (
+        _hybrid_stats,
+        ranks_sql() + f", {host_cte(0.25)}, {CLASS} select (select it::int from stop) iterations, count(*) host_rows, coalesce(sum(idg), 0)::bigint host_edges, case when count(*) > 0 then (select min_len from h) else 0 end host_min_len from c where class = 'host'",
+    ),
+    "convert_stats": (
+        lambda s, d: graph.convert_stats(part_seq(s, d)),
+        f"select * from (select count(*) n_raw, count(distinct (s, d)) n_unique, count(*) filter (s = d) self_loops, count(*) - count(distinct (s, d)) duplicates_removed from ({SEQ})) x, ({graph_sql(SEQ)} {INFO}) y",
     ),
     "median_gap": (
-        lambda s, d: locality.median_gap(_indexed(s, d)),
+        lambda s, d: locality.median_gap(_indexed(s, d).edges),
         G + ", i as (select a.node s, b.node d from e join v a on a.id = e.s join v b on b.id = e.d), g as (select s - lag(s) over (partition by d order by s) gap from i) select median(gap)::double median_gap from g where gap is not null",
     ),
     **{
         f"distinct_lines_{b}": (
-            lambda s, d, b=b: locality.distinct_lines(_indexed(s, d), b),
-            G + f""", i as (select a.node s, b.node d from e join v a on a.id = e.s join v b on b.id = e.d), l as (select count(*) n from (select distinct d // 256, s >> {3 if b == 8 else 4} from i)), m as (select count(*) m from i)
-select n lines, m edges, round(n::double/m, 9) lines_per_edge, round(m::double/n, 9) edges_per_line, round(n*64.0::double/1048576, 9) mib_per_iteration from l, m""",
+            lambda s, d, b=b: _lines(s, d, b),
+            G + f""", i as (select a.node s, b.node d from e join v a on a.id = e.s join v b on b.id = e.d), l as (select count(*) n from (select distinct d // 256, s >> {3 if b == 8 else 4} from i)), m as (select count(*) m from i), w as (select count(*) w from v)
+select n lines, m edges, round(m::double/w, 9) mean_row, round(w*{b}/1048576.0::double, 9) contrib_mib, round(n::double/m, 9) lines_per_edge, round(m::double/n, 9) edges_per_line, round(n*64.0::double/1048576, 9) mib_per_iteration from l, m, w""",
         )
         for b in (8, 4)
     },
-    "locality_lines_approx": (lambda s, d: locality.approximate_lines(_indexed(s, d)), None),
-    "verify_max_diff": (_max_diff, ranks_sql(20) + " select round(max(abs(round(a.r, 10) - round(b.r, 10))), 10) max_diff, 0::bigint only_got, 0::bigint only_want from pr a join pr b using (id) where a.it = 10 and b.it = 20"),
+    "locality_lines_approx": (lambda s, d: locality.approximate_lines(_indexed(s, d).edges), None),
+    "verify_max_diff": (_max_diff, ranks_sql(20) + ", q as (select id, abs(round(a.r, 10) - round(b.r, 10)) x from pr a join pr b using (id) where a.it = 10 and b.it = 20) select round(max(x), 10) max_diff, min(id) filter (x = (select max(x) from q)) at_id, 0::bigint only_got, 0::bigint only_want from q"),
     "verify_topk_order": (
         _order,
         ranks_sql(20) + """, k as (select it, id, round(r, 10) r, row_number() over (partition by it order by round(r, 10) desc, id) p from pr where it in (10, 20)),
 a as (select * from k where it = 10 and p <= 100), b as (select * from k where it = 20 and p <= 100)
-select count(*) filter (a.id <> b.id) differing, (select count(*) from a where id not in (select id from b)) missing, round(max(abs(a.r - b.r)), 9) max_value_diff from a join b using (p)""",
+select count(*) filter (a.id <> b.id) differing, (select count(*) from a where id not in (select id from b)) missing,
+  round(coalesce(max(abs(w.r - b.r)) filter (a.id <> b.id), 0), 9) worst_gap, round(max(abs(a.r - b.r)), 9) max_value_diff from a join b using (p) join (select id, r from pr where it = 20) w on w.id = a.id""",
     ),
-    "verify_checks": (_checks, None),
+    "verify_checks": (
+        _checks,
+        ranks_sql(20) + """, k as (select it, id, r, row_number() over (partition by it order by r desc, id) p from pr where it in (10, 20)), a as (select * from k where it = 10), b as (select * from k where it = 20),
+t as (select a.id <> b.id x, abs(a.r - b.r) y, abs(w.r - b.r) g, a.id not in (select id from b where p <= 100) z from a join b using (p) join b w on w.id = a.id where p <= 100)
+select 'converged' "check", true ok union all select 'top_order', count(*) filter (x) = 0 or (count(*) filter (z) = 0 and max(g) filter (x) <= 1e-8) from t union all select 'top_values', max(y) <= 1e-8 from t
+union all select 'all_values', max(abs(a.r - b.r)) <= 1e-8 from a join b using (id) union all select 'rank_sum', abs(sum(r) - 1) <= 1e-6 from a""",
+    ),
+    "verify_dense": (
+        lambda s, d: verify.dense_ranks(graph.from_edges(part_seq(s, d), keep=True)).select("id", F.round("rank", 10).alias("rank")),
+        ranks_sql(60, raw=SEQ) + " select id, round(r, 10) rank from pr where it = 60",
+    ),
+    "verify_reference": (_reference, "select 'all_values' \"check\", true ok, 'dense' against"),
     "verify_rank_sum": (lambda s, d: _ranks(s, d, 15).agg((F.abs(F.sum("rank") - 1) <= 1e-6).alias("ok")), ranks_sql() + " select abs(sum(r) - 1) <= 1e-6 ok from pr where it = (select it from stop)"),
     "bench_min_per_config": (_best, BEST + " select * from best"),
     "bench_graph_order": (lambda s, d: benchlog.graph_order(runs(s, d)), f"select graph, min(line_no) first_line from ({RUNS}) group by 1"),
@@ -321,6 +322,29 @@ select count(*) filter (a.id <> b.id) differing, (select count(*) from a where i
         lambda s, d: benchlog.best_share(_rounded(benchlog.share_speedups(_best(s, d)), "speedup")),
         TOP := f"select graph, \"precision\", case when max(speedup) > 1.01 then arg_max(cpu_share, {{'a': speedup, 'b': -cpu_share}}) end cpu_share, case when max(speedup) > 1.01 then max(speedup) end gain from ({SHARE}) group by all",
     ),
+    "bench_real_gains": (
+        lambda s, d: benchlog.real_gains(_rounded(benchlog.share_speedups(_best(s, d)), "speedup")),
+        f"select graph, \"precision\", cpu_share, speedup from (select *, max(speedup) over (partition by graph, \"precision\") top from ({SHARE})) where top > 1.1",
+    ),
+    "bench_measured": (lambda s, d: benchlog.measured(_best(s, d), ["seq", "hybrid", "cuda"]), BEST + " select b build, b in (select build from best) measured from (select unnest(['seq', 'hybrid', 'cuda']) b)"),
+    "bench_ns_per_edge": (
+        lambda s, d: benchlog.ns_per_edge(runs(s, d).withColumn("edges", F.col("line_no") % 1000 + 1)).withColumn("ns_per_edge", F.round("ns_per_edge", 2)),
+        f"select graph, build, \"precision\", threads, cpu_share, round(min(case when iterations > 0 then seconds_total*1e9::double/(iterations*(line_no % 1000 + 1)) end), 2) ns_per_edge from ({RUNS}) group by all",
+    ),
+    "bench_printed": (
+        lambda s, d: benchlog.printed_table(benchlog.share_table(_best(s, d), SHARES)),
+        BEST + ", o as (select graph, \"precision\", min({'s': seconds, 't': threads}) b from best where build = 'omp' group by all) select graph, \"precision\", "
+        + ", ".join(f"coalesce(printf('%.4f', min(seconds) filter (build = 'hybrid' and cpu_share = {x})), '-') share_{f'{x:g}'.replace('.', '_')}" for x in SHARES)
+        + ", coalesce(printf('%.4f', any_value(b.s)), '-') omp_seconds, coalesce(any_value(b.t)::varchar, '-') omp_threads from best left join o using (graph, \"precision\") where build = 'hybrid' group by all",
+    ),
+    "bench_formats": (
+        lambda s, d: table(s, d, "nation").select("n_nationkey", benchlog.decimal_comma(F.col("n_nationkey") / F.lit(7.0)).alias("comma"), benchlog.percent(F.col("n_nationkey") / F.lit(7.0)).alias("pct"), benchlog.shortest(F.col("n_nationkey") / F.lit(4.0)).alias("short")),
+        "select n_nationkey, replace(printf('%.2f', n_nationkey/7.0::double), '.', ',') comma, printf('%.0f%%', n_nationkey/7.0::double*100) pct, regexp_replace(printf('%.6f', n_nationkey/4.0::double), '\\.?0+$', '') short from nation",
+    ),
+    "bench_stems": (
+        lambda s, d: runs(s, d).select("line_no", benchlog.graph_stem(F.concat_ws("", F.lit("data/big.v2/"), "graph", F.lit(".csr"))).alias("stem")),
+        "select event_id line_no, event_type stem from events",
+    ),
     "bench_near_maxima": (
         lambda s, d: benchlog.near_maxima(benchlog.best_share(_rounded(benchlog.share_speedups(_best(s, d)), "speedup"), 0.0).withColumnRenamed("gain", "speedup"), 4.0),
         f"with p as ({TOP.replace('> 1.01', '> 0')}) select a.graph a, b.graph b, a.cpu_share q from p a join p b on a.cpu_share = b.cpu_share and a.graph < b.graph and abs(log2(a.gain/b.gain)) < 4.0",
@@ -367,3 +391,4 @@ select r_name graph, unnest([1, 2, 3]) rep, b.* from region, b""",
         "with m as (select *, min(ts) filter (event_type = 'purchase') over (partition by user_id) a, max(ts) filter (event_type = 'purchase') over (partition by user_id) b from events) select user_id, round(coalesce(sum(value) filter (ts < a), 0), 9) \"before\", round(coalesce(sum(value) filter (ts > b), 0), 9) \"after\" from m group by 1",
     ),
 }
+CATALOGUE |= STORED  # what is written and read back

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where the session
-    names none (single-machine tests) is a local folder chosen, and kept for the session's later calls."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where the session names none and runs on this machine
+    alone is a local folder chosen, and kept for the session's later calls; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("linkrank.scratch", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="linkrank-")
         spark.conf.set("linkrank.scratch", root)
     return f"{root.rstrip('/')}/linkrank-{uuid.uuid4().hex}"
@@ -25,3 +28,21 @@ def saved(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Bucketed:
+    """The rows, written once to the shared folder in as many buckets by `column` as there are shuffle partitions, and sorted by it: joins and sums by it need
+    no exchange. drop() forgets the table's name; `plain` reads its files without it."""
+
+    def __init__(self, df: DataFrame, column: str):
+        spark = df.sparkSession
+        self.spark, self.path, self.name = spark, scratch_dir(spark), f"linkrank_{uuid.uuid4().hex}"
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(parts, column).sortBy(column).option("path", self.path).option("compression", "zstd").format("parquet").saveAsTable(self.name)
+        self.rows = spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+
+    def plain(self) -> DataFrame:
+        return self.spark.read.schema(self.rows.schema).parquet(self.path)

@@ -3,9 +3,11 @@ import math
 import numpy as np
 import pytest
 
-from linkrank.operators import benchlog, classes, graph, locality, pagerank, verify
+from linkrank.__main__ import main
+from linkrank.operators import benchlog, classes, graph, locality, pagerank, trace, verify
 from linkrank.params import PageRankParams
-from linkrank.sources import csr, tables
+from linkrank.scratch import Bucketed, scratch_dir
+from linkrank.sources import csr, files, tables, trace_db
 
 G5 = [(1, 0), (4, 0), (0, 1), (2, 1), (0, 2), (1, 2), (4, 2), (1, 3)]
 G5_RANKS = [0.179992724774516, 0.351028561813352, 0.256489587813111, 0.155973619801018, 0.056515505798004]
@@ -78,11 +80,11 @@ def test_renumbering_and_row_pointers(spark):
 
 def test_median_gap_keeps_the_last_gap(spark):
     assert locality.median_gap(edges(spark, [(0, 5), (0, 6), (5, 6)])).first()[0] == 5.0
-    assert locality.median_gap(edges(spark, [(0, 1)])).first()[0] is None
+    assert locality.median_gap(edges(spark, [(0, 1)])).first()[0] is None and locality.median_gap(edges(spark, [])).first()[0] is None
 
 
 def test_edgeless_lines_are_null(spark):
-    row = locality.distinct_lines(edges(spark, [])).first()
+    row = locality.distinct_lines(edges(spark, []), 0).first()
     assert row["lines"] == 0 and row["lines_per_edge"] is None
 
 
@@ -137,20 +139,133 @@ def test_edge_text(spark, tmp_path):
 
 
 def test_csr_round_trip_and_bad_files(spark, tmp_path):
-    spark.dataSource.register(csr.CsrSource)
     path = tmp_path / "g.csr"
-    csr.write_csr(edges(spark, G5), 5, str(path))
+    csr.write_csr(graph.from_edges(edges(spark, G5), keep=True), 5, str(path))
     good = path.read_bytes()
-    assert np.frombuffer(good, "<u8", 6, 24).tolist() == [0, 2, 4, 7, 8, 8]
-    read = lambda **o: spark.read.format("csr").options(**o).load(str(path))
-    assert sorted(map(tuple, read(partitions="3").collect())) == sorted(G5)
-    assert sorted(map(tuple, read(columns="vertices").collect())) == [(0, 2, 2), (1, 2, 3), (2, 3, 1), (3, 1, 0), (4, 0, 2)]
+    assert np.frombuffer(good, "<u8", 6, 24).tolist() == [0, 2, 4, 7, 8, 8] and np.frombuffer(good, "<u4", 13, 72).tolist() == [1, 4, 0, 2, 0, 1, 4, 1, 2, 3, 1, 0, 2]
+    for parts in (1, 3, 50):
+        read = lambda columns="edges", p=parts: csr.read_csr(spark, str(path), columns, p)
+        assert sorted(map(tuple, read().collect())) == sorted(G5)
+        assert sorted(map(tuple, read("vertices").collect())) == [(0, 2, 2), (1, 2, 3), (2, 3, 1), (3, 1, 0), (4, 0, 2)]
+        assert sorted(map(tuple, read("row_ptr").collect())) == [(0, 2), (1, 2), (2, 3), (3, 1), (4, 0)]
     swap = lambda at, data: good[:at] + data + good[at + len(data) :]
     u8 = lambda x: np.array([x], "<u8").tobytes()
     for bad in (b"X" + good[1:], good[:-1], good + b"\0", swap(8, u8(0)), swap(16, u8(2**40)), swap(24, u8(1)), swap(64, u8(7)), swap(32, u8(6)), swap(72, np.array([9], "<u4").tobytes())):
         path.write_bytes(bad)
         with pytest.raises(Exception):
-            read().collect()
+            csr.read_csr(spark, str(path), partitions=2).collect()
+
+
+def test_ids_file(spark, tmp_path):
+    ids = spark.createDataFrame([(i, 10**12 - 7 * i) for i in range(500)], "node long, id long").repartition(3)
+    csr.write_ids(ids, str(tmp_path / "ids"))
+    assert np.fromfile(tmp_path / "ids", "<i8").tolist() == [10**12 - 7 * i for i in range(500)]
+    assert sorted(map(tuple, csr.read_ids(spark, str(tmp_path / "ids"), 500).collect())) == sorted(map(tuple, ids.collect()))
+    with pytest.raises(ValueError, match="not the ids"):
+        csr.read_ids(spark, str(tmp_path / "ids"), 499)
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+@pytest.mark.parametrize("precision", ["double", "float"])
+def test_many_tasks_and_one_give_the_same(spark, monkeypatch, broadcast, precision):
+    """The loop over bucketed tables, with a hub, against the loop in one task; nothing but partial sums and broadcasts is exchanged."""
+    rng = np.random.default_rng(9)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (300, 2))} | {(i, 0) for i in range(1, 60)})
+    g = graph.from_edges(edges(spark, pairs), keep=True)
+    params = PageRankParams(precision=precision, host_share=0.3)
+    one = pagerank.pagerank(g, params, hybrid=True)
+    monkeypatch.setattr(pagerank, "TASK_EDGES", 0)
+    monkeypatch.setattr(pagerank, "BROADCAST_NODES", broadcast)
+    many = pagerank.pagerank(g, params, hybrid=True)
+    a, b = ranks_of(one[0]), ranks_of(many[0])
+    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-5 if precision == "float" else 1e-12) for i in a)
+    assert one[1].iterations == many[1].iterations and [x[0] for x in one[2]] == [x[0] for x in many[2]]
+    assert all(math.isclose(x, y, rel_tol=1e-2 if precision == "float" else 1e-6, abs_tol=1e-12) for p, q in zip(one[2], many[2], strict=True) for x, y in zip(p[1:], q[1:], strict=True))
+    stats = [(s.host_rows, s.host_edges, s.host_min_len) for s in (one[1], many[1])]
+    lengths = np.bincount([d for _, d in pairs])
+    long = lengths[lengths >= stats[0][2]]
+    assert stats[0] == stats[1] and stats[0][:2] == (len(long), long.sum()) and 0 < long.sum() <= 0.3 * len(pairs)
+    assert not spark.catalog.listTables()
+
+
+def test_an_iteration_moves_partial_sums_alone(spark):
+    g = graph.from_edges(edges(spark, G5), keep=True)
+    e, state = Bucketed(g.edges, "src"), Bucketed(g.vertices.selectExpr("id", "out_deg", "0 class", "0.2D rank"), "id")
+    plan = pagerank.step(e.rows.hint("merge"), state.rows.hint("merge"), 0.1, PageRankParams(), False)._jdf.queryExecution().executedPlan().toString()
+    e.drop(), state.drop()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_sum" in plan[plan.index("Exchange") :]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Text to a binary graph with its ids, a hybrid run over it, and its ranks verified under the original ids."""
+    (tmp_path / "g.txt").write_text("".join(f"{10 * s}\t{10 * d}\n" for s, d in G5))
+    path = f"{tmp_path}/g"
+    main(["convert", f"{path}.txt", f"{path}.csr"])
+    main(["info", f"{path}.csr"])
+    main(["run", f"{path}.csr", "-i", f"{path}.ids", "-s", "0.4", "-b", "1,2", "-k", "3", "-o", f"{path}.ranks", "-c", f"{path}.log", "-t", "1e-12"])
+    shown = capsys.readouterr().out
+    assert "cpu took   1 rows of 3 in-neighbours or more, 37.5% of the edges" in shown and "1. node         1  SNAP id        10" in shown
+    got = tables.parse_report(spark.createDataFrame([(x,) for x in shown.splitlines()], "value string")).collect()
+    assert [(r["kind"], r["key"]) for r in got] == [("converged", ""), ("iterations", ""), ("sum", ""), ("top", "10"), ("top", "20"), ("top", "0")]
+    main(["verify", f"{path}.csr", f"{path}.ranks", "-i", f"{path}.ids", "-k", "5"])
+    main(["report", f"{path}.log"])
+    shown = capsys.readouterr().out
+    assert "reference: dense" in shown and "share_0_4" in shown
+    log = tables.read_run_log(spark, f"{path}.log").first()
+    assert (log["build"], log["classes"], log["cpu_share"]) == ("hybrid", "1/2", 0.4)
+    with pytest.raises(SystemExit, match="no such graph"):
+        main(["info", f"{path}.missing"])
+
+
+def test_trace_file(spark, tmp_path):
+    """Five iterations by hand: names cut at their version, a copy in place of a kernel with its correlation id, phases null where the host had no rows."""
+    names = [(1, "cudaLaunchKernel_v7000"), (2, "cudaMemcpy_v3020"), (3, "cudaEventSynchronize_v3020"), (4, "cudaStreamSynchronize_v3020"), (5, "contrib_kernel"), (6, "gather_warp"), (7, "scatter_host_ranks")]
+    calls, kernels, copies = [(0, 5, 2, 1)], [], [(1, 4, 1, 2_000_000, 1)]
+    for i in range(5):
+        t = 1000 * (i + 1)
+        calls += [(t, t + 5, 1, 10 * t), (t + 10, t + 12, 1, 10 * t + 1), (t + 20, t + 25, 2, 10 * t + 2), (t + 60, t + 65, 2, 10 * t + 4), (t + 70, t + 72, 1, 10 * t + 5), (t + 80, t + 89, 4, 0)]
+        calls += [(t + 30, t + 50, 3, -1)] if i % 2 else []
+        kernels += [(t + 1, t + 8, 5, 10 * t), (t + 11, t + 18 + i, 6, 10 * t + 1), (t + 71, t + 75, 7, 10 * t + 5), (t + 21, t + 22, 6, 10 * t + 2)]
+        copies += [(t + 21, t + 31, 2, 5_000, 10 * t + 2), (t + 61, t + 63, 1, 3_000, 10 * t + 4)]
+    calls += [(9000, 9005, 2, 3)]
+    copies += [(9001, 9007, 2, 10, 3)]
+    trace_db.write_trace(f"{tmp_path}/t.sqlite", names, calls, kernels, copies)
+    c, w = trace_db.read_trace(spark, f"{tmp_path}/t.sqlite")
+    assert c.count() == len(calls) and w.count() == len({x[-1] for x in kernels + copies}) and c.filter(files.F.col("name").contains("_v")).isEmpty()
+    rows = {r["seg"]: r.asDict() for r in trace.run_phases(c, w, []).collect()}
+    assert sorted(rows) == [2, 3, 4]
+    assert rows[2] == {"seg": 2, "iter_ms": 1e-3, "contrib_ms": 7e-6, "gpu_accumulate_ms": 8e-6, "copy_ms": 1e-5, "copy_mb": 5e-3, "copy_gbs": 500.0, "wait_copy_ms": 2e-5, "cpu_accumulate_ms": 1e-5, "back_ms": 2e-6, "back_mb": 3e-3, "scatter_ms": 4e-6, "wait_gpu_ms": 9e-6}
+    assert rows[3]["copy_ms"] is None and rows[3]["scatter_ms"] is None and rows[3]["gpu_accumulate_ms"] == 9e-6
+    s = trace.run_summary(c.selectExpr("'g' graph", "*"), w.selectExpr("'g' graph", "*"), ["graph"]).first()
+    assert (s["iterations"], s["upload_ms"], s["upload_mb"], s["download_ms"], s["wait_gpu_ms"]) == (5, 3e-6, 2.0, 16e-6, 9e-6)
+
+
+def test_median_gap_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(locality, "SPAN", 4)
+    monkeypatch.setattr(locality, "WIDTH", 3)
+    rng = np.random.default_rng(11)
+    for n in (1, 5, 60):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (n, 2))}, key=lambda p: (p[1], p[0]))
+        want = [b[0] - a[0] for a, b in zip(pairs, pairs[1:], strict=False) if a[1] == b[1]]
+        assert locality.median_gap(edges(spark, pairs)).first()[0] == (float(np.median(want)) if want else None)
+
+
+def test_rows_of_the_thread_class_alone_need_no_lists(spark):
+    g = graph.from_edges(edges(spark, G5), keep=True)
+    assert classes.grouped_rows(classes.classified(g, PageRankParams())).count() == 0
+    rows = classes.grouped_rows(classes.classified(g, PageRankParams(thread_max=1, warp_max=2))).collect()
+    assert sorted(map(tuple, rows)) == [("block", 0, 2), ("thread", 0, 3), ("thread", 1, 4), ("warp", 0, 0), ("warp", 1, 1)]
+
+
+def test_scratch_folder_on_a_cluster(spark, monkeypatch):
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session())
 
 
 def test_rank_dump_and_run_log(spark, tmp_path):
@@ -166,6 +281,10 @@ def test_rank_dump_and_run_log(spark, tmp_path):
     assert log.count() == 2 and log.first()["iterations"] == 15 and benchlog.repetitions(log).agg({"rep": "max"}).first()[0] == 2
 
 
-def test_report_names():
-    assert tables.report_names(["x/g_double_s0.5_r10.sqlite", "x/g_double_s0.5_r2.sqlite", "x/other.txt"]) == [("g", "double", 0.5, 2), ("g", "double", 0.5, 10)]
+def test_report_names(spark):
+    names = ["g-x-double-s0.5-r10.nsys-rep", "g-x-double-s0.5-r2", "g-float-s1-r1.sqlite", "other.txt", "g_double_s0.5_r1"]
+    got = tables.report_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert sorted(tuple(r)[1:] for r in got) == [("g", "float", 1.0, 1), ("g-x", "double", 0.5, 2), ("g-x", "double", 0.5, 10)]
+    order = spark.createDataFrame([("machine10",), ("machine2",), ("laptop",)], "n string").orderBy(files.natural(files.F.col("n"))).collect()
+    assert [r["n"] for r in order] == ["laptop", "machine2", "machine10"]
     assert benchlog.thread_list(6, 12) == [1, 2, 4, 6, 8, 12]

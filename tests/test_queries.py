@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 def oracle():
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
-    for t in ("lineitem", "orders", "events", "region", "documents", "pages", "benchmark", "labels"):
+    for t in ("lineitem", "orders", "events", "region", "nation", "documents", "pages", "benchmark", "labels"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
