@@ -379,3 +379,15 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similar_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+with recursive d as (select row_number() over () r, doc_id, coalesce(doc_id, 9223372036854775807) o,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct r, md5_number(array_to_string(w[i + 1 : i + 3], ' ')) h from (select r, w, unnest(range(greatest(len(w) - 2, 1))) i from d where len(w) > 0)),
+n as (select r, count(*) n from s group by r),
+p as (select x, y from (select a.r x, b.r y, count(*) c from s a join s b on a.h = b.h and a.r <> b.r group by 1, 2) join n a on a.r = x join n b on b.r = y where 100*c >= 90*(a.n + b.n - c)),
+t(r, c) as (select r, r from n union select p.y, t.c from t join p on p.x = t.r),
+least_of as (select t.r, min(d.o) c from t join d on d.r = t.c group by t.r)
+select doc_id, coalesce(n, 0)::bigint n_shingles, case when n is null then doc_id else nullif(c, 9223372036854775807) end component_id from d left join n using (r) left join least_of using (r)
+"""

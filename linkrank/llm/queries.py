@@ -16,4 +16,11 @@ OPERATORS = {
     "op10_warc_transactions": warc.op10,
 }
 QUERIES = {name: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for name, f in OPERATORS.items()}
-SQL = {"op1_decontamination": decontamination.OP1_SQL, "op10_warc_transactions": warc.OP10_SQL}
+SQL = {
+    "op1_decontamination": decontamination.OP1_SQL,
+    "op3_ngram_jaccard": jaccard.OP3_SQL,
+    "op5_substring_dedup": suffix_tree.OP5_SQL,
+    "op7_feistel_sharding": sharding.OP7_SQL,
+    "op9_suffix_array_dedup": suffix_array.OP9_SQL,
+    "op10_warc_transactions": warc.OP10_SQL,
+}

@@ -80,23 +80,26 @@ def _div(i: Column, a: int) -> Column:
     return F.call_function("div", i, F.lit(a).cast("long"))
 
 
-def row_numbers(rows: DataFrame, order: list[str], name: str = "row_no") -> tuple[DataFrame, int]:
-    """Global numbers from 0 in the given order, without one task that sees all rows: a range partitioning,
+ADDED = ("row_no", "shuffled", "shard", "slot")
+
+
+def row_numbers(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """(row, row_no): each row whole, as a struct, and its global number from 0 in the given order, without one task that sees all rows: a range partitioning,
     positions within each partition, and a cumulative sum of as many counts as there are partitions.
     Rows that agree in the whole order are told apart by their place in the input, so a repeated row can't fill one range."""
-    dealt = rows.withColumn("__at", F.monotonically_increasing_id())
-    dealt = dealt.repartitionByRange(parts(rows.sparkSession), *order, "__at").sortWithinPartitions(*order, "__at")
-    placed = saved(dealt.drop("__at").withColumn("__place", F.monotonically_increasing_id()))
-    part = F.shiftright("__place", 33)
+    keys = [f"key{i}" for i in range(len(order))] + ["at"]
+    held = rows.select(F.struct(*(F.col(c) for c in rows.columns)).alias("row"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=False)), F.monotonically_increasing_id().alias("at"))
+    dealt = held.repartitionByRange(parts(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    placed = saved(dealt.select("row", F.monotonically_increasing_id().alias("place")))
+    part = F.shiftright("place", 33)
     counts = sorted(placed.groupBy(part.alias("part")).count().collect())  # a row for each partition
     before, first = 0, []
     for p, c in counts:
         first.append((p, before))
         before += c
-    starts = rows.sparkSession.createDataFrame(first, "__part long, __first long")
-    numbered = placed.join(F.broadcast(starts), part == F.col("__part"))
-    within = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn(name, F.col("__first") + within).drop("__place", "__part", "__first"), before
+    starts = rows.sparkSession.createDataFrame(first, "part long, first long")
+    numbered = placed.join(F.broadcast(starts), part == F.col("part"))
+    return numbered.select("row", (F.col("first") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("row_no")), before
 
 
 def feistel_shards(rows: DataFrame, order: list[str], n_shards: int = 16, seed: int = 20_240_501) -> DataFrame:
@@ -107,7 +110,7 @@ def feistel_shards(rows: DataFrame, order: list[str], n_shards: int = 16, seed:
     n_shards and slot = place div n_shards: counts differ by one at most, slots have no gaps, and either direction
     is computable for a single row (permute, unpermute) without the table.
 
-    Columns that clash with the added names are not allowed in `rows`; null order values come first; repeated rows
+    A column of `rows` with the name of an added one is replaced by it, though the order may go by it; null order values come first; repeated rows
     each get a place of their own; an empty table stays empty."""
     numbered, n = row_numbers(rows, order)
     a, b = domain(n)
@@ -116,7 +119,8 @@ def feistel_shards(rows: DataFrame, order: list[str], n_shards: int = 16, seed:
     out = numbered.withColumn("shuffled", F.aggregate(steps, _once(F.col("row_no"), a, b, seed), walk))
     while n and a * b > n and out.filter(F.col("shuffled") >= n).limit(1).count():  # a walk may be longer
         out = saved(out.withColumn("shuffled", F.aggregate(steps, F.col("shuffled"), walk)))
-    return out.withColumn("shard", (F.col("shuffled") % n_shards).cast("int")).withColumn("slot", _div(F.col("shuffled"), n_shards))
+    kept = [F.col("row").getField(c).alias(c) for c in rows.columns if c.lower() not in ADDED]
+    return out.select(*kept, "row_no", "shuffled", (F.col("shuffled") % n_shards).cast("int").alias("shard"), _div(F.col("shuffled"), n_shards).alias("slot"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -125,3 +129,29 @@ def op7(spark, sf_dir: str) -> DataFrame:
     narrow = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = feistel_shards(narrow, ["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _sql(n_shards: int = 16, seed: int = 20_240_501) -> str:
+    """The same in SQL: CRC-32 by its table of 256 entries, the network a subquery a round, the walk a recursion."""
+
+    def once(source):
+        out = f"select r, v % a x, v // a y, a, b from {source}"
+        for i, k in enumerate(round_keys(seed)):
+            mixed = lambda v: f"(((({v} + {k}) % {PRIME}) * (({v} + {k}) % {PRIME}) + {k}) % {PRIME} * 69621 + {v}) % {PRIME}"  # noqa: E731, B023
+            out = f"select r, x, (y + {mixed('x')}) % b y, a, b from ({out})" if i % 2 else f"select r, (x + {mixed('y')}) % a x, y, a, b from ({out})"
+        return f"select r, y*a + x v from ({out})"
+
+    return f"""
+with recursive tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+bytes as (select row_number() over () k, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+sized as (select k, doc_id, (len(x)//2 + 1)::bigint size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(x)//2), lambda i: ('0x' || substr(x, 2*i + 1, 2))::bigint)),
+  lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295::bigint) text_crc32 from bytes, tab),
+d as (select *, row_number() over (order by doc_id nulls first, size, text_crc32, k) - 1 r from sized),
+side as (select count(*) n, greatest(1, floor(sqrt(greatest(count(*), 1))))::bigint a from d),
+grid as (select n, a, (n + a - 1)//a b from side),
+walk(r, v) as ({once("(select r, r v, a, b from d, grid)")} union all {once("(select r, v, a, b from walk, grid where v >= n)")})
+select doc_id, size, text_crc32, 'rows' law, (v % {n_shards})::int shard, (v // {n_shards})::bigint slot, null::int grown_shard from walk join d using (r), grid where v < n
+"""
+
+
+OP7_SQL = _sql()

@@ -236,3 +236,15 @@ def op9(spark, sf_dir: str) -> DataFrame:
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.lower(F.hex(F.when(whole, F.lit(EMPTY)).otherwise(F.coalesce("kept", "plain")))).alias("kept_sha256"),
     )
+
+
+OP9_SQL = r"""
+with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+g as (select r, s, md5_number(substr(x, 2*s + 1, 400)) h from (select r, x, unnest(range(len(x)//2 - 199)) s from d where len(x) >= 400)),
+hit as (select r, s from g where h in (select h from g group by h having count(*) > 1)),
+run as (select r, s, sum((s - before > 200 or before is null)::int) over (partition by r order by s) k from (select r, s, lag(s) over (partition by r order by s) before from hit)),
+span as (select r, k, min(s) a, max(s) + 200 b from run group by r, k),
+left_over as (select r, string_agg(substr(x, 2*f + 1, 2*(a - f)), '' order by f) t, sum(b - a) n, count(*) - 1 spans from (
+  select r, x, a, b, coalesce(lag(b) over (partition by r order by a), 0) f from (select r, a, b from span union all select r, len(x)//2, len(x)//2 from d where r in (select r from span)) join d using (r)) group by r)
+select doc_id, (len(x)//2)::bigint n_bytes, coalesce(n, 0)::bigint n_removed, coalesce(spans, 0)::bigint n_spans, sha256(unhex(coalesce(t, x))) kept_sha256 from d left join left_over using (r)
+"""

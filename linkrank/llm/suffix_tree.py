@@ -119,3 +119,15 @@ def op5(spark, sf_dir: str) -> DataFrame:
         F.when(whole, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.lower(F.hex(F.when(whole, F.lit(EMPTY)).otherwise(F.coalesce("kept", "plain")))).alias("kept_sha256"),
     )
+
+
+OP5_SQL = r"""
+with d as (select row_number() over () r, doc_id, coalesce(doc_id, 9223372036854775807) o, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+g as (select r, o, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) h from (select r, o, w, unnest(range(len(w) - 49)) s from d where len(w) >= 50)),
+low as (select h, min(o) lo from g group by h),
+cov as (select distinct r, unnest(range(s, s + 50)) p from g join low using (h) where lo < o),
+kept as (select r, string_agg(w[p + 1], ' ' order by p) t from (select r, w, unnest(range(len(w))) p from d where r in (select r from cov)) anti join cov using (r, p) group by r),
+gone as (select r, count(*) n from cov group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(case when n is null then array_to_string(w, ' ') else coalesce(t, '') end) kept_sha256
+from d left join gone using (r) left join kept using (r)
+"""
