@@ -8,17 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FOLDER = "linkrank.scratch.folder"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where the session names none and runs on this machine
-    alone is a local folder chosen, and kept for the session's later calls; on a cluster that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("linkrank.scratch", None)
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="linkrank-")
-        spark.conf.set("linkrank.scratch", root)
-    return f"{root.rstrip('/')}/linkrank-{uuid.uuid4().hex}"
+    """A new path in the session's folder below spark.checkpoint.dir, which driver and executors share. Only where the session names none and runs on
+    this machine alone is a local folder chosen; on a cluster that is an error. The session's folder is deleted when the driver ends."""
+    folder = spark.conf.get(FOLDER, None)
+    if not folder:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            master = spark.conf.get("spark.master", "")
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="linkrank-")
+        folder = f"{root.rstrip('/')}/linkrank-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        spark.conf.set(FOLDER, folder)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
