@@ -16,6 +16,8 @@ SIDE = 24
 UNIT = SIDE * SIDE
 MASK = np.uint32(((1 << 11) - 1) << 21)  # cuts about every 2 KB
 SHORTEST, LONGEST = 512, 8192
+HOT = 1000  # places of a chunk beyond which its bytes go to several tasks
+SALTS = 32
 
 
 def payload(text: str | None) -> bytes:
@@ -159,9 +161,16 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
     return saved(joined.mapInArrow(cut, STORE_DDL))
 
 
-def reconstruct(kept: DataFrame, columns: pa.Schema, ddl: str, make) -> DataFrame:
+def hot_chunks(listed: DataFrame) -> DataFrame:
+    """name, hot: chunks that stand at more than HOT places."""
+    places = listed.filter("lead").select(F.explode("digests").alias("name"))
+    return saved(places.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("name", F.lit(True).alias("hot")))
+
+
+def reconstruct(kept: DataFrame, hot: DataFrame, columns: pa.Schema, ddl: str, make) -> DataFrame:
     """make(media digest, media bytes) -> a row, for each media of the store. Its chunks are put together in order; a media without
-    its own digest is an error. Those that own all their chunks need no shuffle; for the others the missing ones are fetched."""
+    its own digest is an error. Those that own all their chunks need no shuffle; for the others the missing ones are fetched, hot ones
+    from one of SALTS copies."""
 
     def build(key, pieces):
         media = b"".join(pieces)
@@ -189,7 +198,11 @@ def reconstruct(kept: DataFrame, columns: pa.Schema, ddl: str, make) -> DataFram
     each = F.posexplode(F.arrays_zip("digests", "chunks", "lent"))
     asked = partial.select("media", each.alias("place", "x")).filter("x.chunks is null").select("media", "place", F.col("x.digests").alias("name"))
     lenders = kept.filter(F.exists("lent", lambda x: x)).select(each.alias("at", "x")).filter("x.lent").select(F.col("x.digests").alias("name"), F.col("x.chunks").alias("chunk"))
-    found = asked.join(lenders, "name").groupBy("media").agg(F.collect_list(F.struct("place", "chunk")).alias("found"))
+    if not hot.isEmpty():
+        asked = asked.join(hot, "name", "left").select("media", "place", "name", F.when(F.col("hot"), F.pmod(F.xxhash64("media"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+        every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        lenders = lenders.join(hot, "name", "left").select("name", "chunk", F.explode(every).alias("salt"))
+    found = asked.join(lenders, ["name", "salt"] if "salt" in asked.columns else "name").groupBy("media").agg(F.collect_list(F.struct("place", "chunk")).alias("found"))
     first = kept.filter("whole").select("media", "chunks").mapInArrow(whole, ddl)
     return first.unionByName(partial.select("media", "chunks").join(found, "media").mapInArrow(mended, ddl))
 
@@ -207,7 +220,7 @@ def media_features(docs: DataFrame) -> DataFrame:
 
     listed = saved(catalog(docs))
     kept = store(docs, listed)
-    seen = saved(reconstruct(kept, FEATURES, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", measure))
+    seen = saved(reconstruct(kept, hot_chunks(listed), FEATURES, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", measure))
     return listed.select("doc_id", "n_bytes", "media", "media_bytes").join(seen, "media").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature"
     )

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, saved, unpacked
+from .common import rows_of, saved, scratch_dir, unpacked
 from .repeats import EMPTY, Stretch, Units, repeats
 from .symbols import grams
 
@@ -19,16 +21,17 @@ IN_MEMORY = 64 << 20
 
 
 class Columns:
-    """Byte sequences that each round reads through once and writes anew: in memory, or in files if they may become large."""
+    """Byte sequences that each round reads through once and writes anew: in memory, or, if they may become large, in files of a folder."""
 
-    def __init__(self, count: int, total: int):
-        self.external = total > IN_MEMORY
+    def __init__(self, count: int, total: int, folder: str | None = None):
+        self.folder = folder if folder and total > IN_MEMORY else None
         self.held = [np.empty(0, np.uint8) for _ in range(count)]
 
     def _empty(self, n: int) -> np.ndarray:
-        if not self.external:
+        if not self.folder:
             return np.empty(n, np.uint8)
-        with tempfile.TemporaryFile() as f:  # the mapping keeps it until the next round
+        os.makedirs(self.folder, exist_ok=True)
+        with tempfile.TemporaryFile(dir=self.folder) as f:  # the mapping keeps it until the next round
             f.truncate(max(n, 1))
             return np.memmap(f, np.uint8, "r+", shape=(max(n, 1),))[:n]
 
@@ -57,7 +60,7 @@ def range_minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
-def collection_arrays(texts: list[bytes], most: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def collection_arrays(texts: list[bytes], most: int = WINDOW, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, suffix length and common prefix with the suffix before (up to `most`) of all suffixes in order.
 
     Each round inserts one symbol of every text, from its end: the suffix that is longer by that symbol goes to the place which the
@@ -67,7 +70,7 @@ def collection_arrays(texts: list[bytes], most: int = WINDOW) -> tuple[np.ndarra
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     symbols = np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
-    columns = Columns(2, int(ends[-1]) + n if n else 0)
+    columns = Columns(2, int(ends[-1]) + n if n else 0, folder)
 
     def preceding(who: np.ndarray, length: int) -> np.ndarray:
         at = ends[who] - 1 - length
@@ -157,7 +160,7 @@ def trimmed(stretches: list[Stretch]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(whole, 0, at - left - first), np.where(whole, sizes, at + gram + right - first)
 
 
-def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
+def judge(stretches: list[Stretch], folder: str | None = None) -> Iterator[tuple[int, list[int]]]:
     """Window starts whose 200 bytes stand at two places at least. Stretches that stand twice themselves are known; they go into the arrays
     only for the sake of others under their anchor."""
     open_anchors = {s.anchor for s in stretches if s.times < 2}
@@ -170,7 +173,7 @@ def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
     begin, end = trimmed([stretches[i] for i in numbers])
     held = [(i, a, stretches[i].content[a:b]) for i, a, b in zip(numbers, begin.tolist(), end.tolist(), strict=True) if b - a >= WINDOW]
     texts = [t for _, _, t in held]
-    owner, size, common = collection_arrays(texts)
+    owner, size, common = collection_arrays(texts, folder=folder)
     window = size >= WINDOW
     same = np.cumsum(common < WINDOW)[window]  # windows with one number are equal
     owner, start = owner[window], np.array([len(t) for t in texts], np.int64)[owner[window]] - size[window]
@@ -191,7 +194,8 @@ def judge(stretches: list[Stretch]) -> Iterator[tuple[int, list[int]]]:
 
 
 def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return repeats(docs, BYTES, True, judge)
+    shared = scratch_dir(docs.sparkSession)  # where it is a folder that tasks can open, large columns lie there
+    return repeats(docs, BYTES, True, partial(judge, folder=shared.removeprefix("file://") if shared.startswith("file://") else None))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

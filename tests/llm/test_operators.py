@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import math
 import random
 import re
 import sys
@@ -222,8 +223,8 @@ def test_text_without_repeats_keeps_whole_characters(spark, tables):
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
     left = suffix_array.without_repeats(docs).collect()
     assert len(left) == len(DOCS) and left[0].asDict().keys() == set(docs.columns)
-    total = {x[0]: x[1] - x[2] for x in brute.bytes_left([d for d in DOCS if d[0] is not None and d[0] > 5])}
-    assert all(0 <= total[r["doc_id"]] - len((r["text"] or "").encode()) < 8 for r in left if r["doc_id"] in total and r["doc_id"] not in (100,) and total[r["doc_id"]] == 0)
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=repr) == sorted(brute.texts_left(DOCS), key=repr)
+    assert any(r["text"] and r["text"] != dict(DOCS).get(r["doc_id"]) for r in left)
 
 
 def test_collection_arrays_against_sorting():
@@ -239,11 +240,30 @@ def test_collection_arrays_against_sorting():
             assert c == min(5, next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))))
 
 
-def test_external_columns_give_the_same(monkeypatch):
+def test_external_columns_give_the_same(monkeypatch, tmp_path):
     texts = [prose(30).encode() for _ in range(5)]
     inside = suffix_array.collection_arrays(texts)
     monkeypatch.setattr(suffix_array, "IN_MEMORY", 0)
-    assert all((a == b).all() for a, b in zip(inside, suffix_array.collection_arrays(texts), strict=True))
+    made = []
+    monkeypatch.setattr(suffix_array.np, "memmap", lambda *a, f=np.memmap, **b: made.append(1) or f(*a, **b))
+    assert all((a == b).all() for a, b in zip(inside, suffix_array.collection_arrays(texts, folder=str(tmp_path / "columns")), strict=True))
+    assert made and not list((tmp_path / "columns").iterdir())
+
+
+def test_texts_longer_than_a_block(spark):
+    """Several megabytes in one text: windows that end of blocks would cut, repeats far apart, and the long powers."""
+    r = random.Random(51)
+    passage = prose(400, r)
+    long = [prose(330_000, r), passage, prose(300_000, r), passage[:900], " ", passage[900:], prose(50_000, r)]
+    edge = symbols.BLOCK - 100
+    text = " ".join(long)
+    data = text.encode()
+    cut = data[edge : edge + 700].decode("utf-8", "ignore")
+    docs = [(1, text), (2, f"{prose(30, r)} {cut} {prose(30, r)}"), (3, passage), (4, " ".join(text.split()[symbols.BLOCK - 120 : symbols.BLOCK + 60]))]
+    assert len(data) > 4 * symbols.BLOCK and len(text.split()) > symbols.BLOCK + 100
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{(path := scratch_dir(spark))}/documents.parquet")
+    assert rows(QUERIES["op9_suffix_array_dedup"](spark, path)) == sorted(brute.bytes_left(docs), key=repr)
+    assert rows(QUERIES["op5_substring_dedup"](spark, path)) == sorted(brute.words_left(docs), key=repr)
 
 
 def test_prefix_groups_split_and_cover():
@@ -324,14 +344,30 @@ def test_media(spark, tables):
         assert (n <= len(padded), size, tail, whole, digest) == (True, len(padded), zlib.crc32(padded[-32:]), len(stored), hashlib.sha256(stored).hexdigest())
 
 
-def test_shared_chunks_are_stored_once(spark):
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_shared_chunks_are_stored_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(media, "HOT", hot)
     r = random.Random(2)
     long = "".join(r.choice("abcdefgh ") for _ in range(40_000))
     docs = spark.createDataFrame([(i, prose(i + 1) + long) for i in range(6)], "doc_id long, text string")
     kept = media.store(docs, media.catalog(docs)).collect()
     names = [n for x in kept for n, c in zip(x["digests"], x["chunks"], strict=True) if c is not None]
     assert len(names) == len(set(names)) and any(not x["whole"] for x in kept)
-    assert media.media_features(docs).count() == 6
+    got = {r["doc_id"]: r for r in media.media_features(docs).collect()}
+    for i, t in docs.collect():
+        data = media.payload(t)
+        assert (got[i]["payload_sha256"], got[i]["feature"]) == (hashlib.sha256(data).hexdigest(), media.features(data))
+
+
+def test_features_are_those_of_plain_sums():
+    for text in ("", "a", "é" * 700, prose(400)):
+        data = media.payload(text)
+        mean = sum(data) / len(data)
+        share = [data.count(b) / len(data) for b in set(data)]
+        quarter = len(data) // 4
+        want = f"24x{len(data) // 24} mean={mean:.3f} std={(sum((b - mean) ** 2 for b in data) / len(data)) ** 0.5:.3f} entropy={-sum(p * math.log2(p) for p in share):.3f} "
+        want += "quarters=" + ",".join(f"{sum(data[i * quarter : (i + 1) * quarter]) / quarter:.3f}" for i in range(4))
+        assert media.features(data).replace("-0.000", "0.000") == want.replace("-0.000", "0.000")
 
 
 def test_sharding(spark, tables):
