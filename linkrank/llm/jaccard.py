@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Bucketed
 from .common import Rows, packed, parts, rows_of, saved, text_key, unpacked
 from .repeats import LAST
 from .symbols import SPACED_FOLDED, grams, words
@@ -17,6 +18,7 @@ from .symbols import SPACED_FOLDED, grams, words
 BUCKET_BITS = 17
 POSTINGS = 1 << 21
 BLOCK = 512  # documents of a group that are compared with each other in one task
+TASK_EDGES = 2_000_000  # edges that one task joins to components
 SHINGLES = 1 << 19  # and shingles that these have, about
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("key", pa.binary()), ("lead", pa.bool_()), ("prefix", pa.list_(pa.int64()))])
 SETS_DDL = "doc_id long, n long, sig binary, key binary, lead boolean, prefix array<long>"
@@ -225,7 +227,7 @@ def group_edges(members: list[tuple[int, np.ndarray]], visitors, num: int, den:
 
 def _compared(bodies: DataFrame, visits: DataFrame, k: int, num: int, den: int, known: bool) -> DataFrame:
     """(a, b): the edges of the groups of visits(gid, sid, key, role, root); role 0 are the members, 1 those that query them. known: members have been
-    compared with each other. bodies(key, blob) are the texts."""
+    compared with each other. bodies(key, blob) are the texts, which lie in buckets by key, so that only those move that a group needs."""
     placed = bodies.join(saved(visits.groupBy("key").agg(F.collect_set(F.struct("gid", "sid", "role", "root")).alias("v"))), "key").select("blob", F.explode("v").alias("v"))
     dealt = placed.select("v.*", "blob").repartition(parts(visits.sparkSession), "gid").sortWithinPartitions("gid", "role", "sid")
 
@@ -267,18 +269,33 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
     connects any more: very many near copies shrink by a block's size each round, and never meet in pairs. Then each set queries the homes where other components
     may link with it, of a crowded one a single part: most often it connects. What other components are left in crowded homes is queried last, part by
     part, where sets of one component share parts."""
-    spark = docs.sparkSession
 
     def blobs(batches):
         out, seen = Rows(pa.schema([("key", pa.binary()), ("blob", pa.binary())])), set()
-        for key, text in rows_of(batches, "key", "text"):
+        for (text,) in rows_of(batches, "text"):
+            data = (text or "").encode()
+            key = text_key(data)
             if key not in seen:
                 seen.add(key)
-                blob = packed((text or "").encode())
+                blob = packed(data)
                 if out.add(key, blob, weight=64 + len(blob)):
                     yield out.take()
         yield out.take()
 
+    shared = _candidates(sets, num, den)
+    named = texts.select("sid", "key", "n", F.xxhash64("sig").alias("k"))
+    living = saved(shared.select("k", "home").distinct().join(named, "k").select("k", "home", "sid", "key", "n"))
+    every = docs.select("text").mapInArrow(blobs, "key binary, blob binary")
+    bodies = Bucketed(every.join(living.select("key"), "key", "left_semi").dropDuplicates(["key"]), "key")
+    try:
+        return _found(bodies.rows, shared, living, k, num, den)
+    finally:
+        bodies.drop()
+
+
+def _found(bodies: DataFrame, shared: DataFrame, living: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The edges that similar_pairs gives; all are written when it returns."""
+
     def grown(edges):
         return living.join(components(edges), F.col("sid") == F.col("node"), "left").select(*living.columns, F.coalesce("root", "sid").alias("root"))
 
@@ -287,11 +304,6 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
         asked = queries.select("k", gid).join(living.select("k", "sid", "key"), "k").select("gid", "sid", "key", F.lit(1).alias("role"), F.lit(0).cast("long").alias("root"))
         return saved(members.select(gid, "sid", "key", F.lit(0).alias("role"), "root").unionByName(asked))
 
-    shared = _candidates(sets, num, den)
-    named = texts.select("sid", "key", "n", F.xxhash64("sig").alias("k"))
-    living = saved(shared.select("k", "home").distinct().join(named, "k").select("k", "home", "sid", "key", "n"))
-    keyed = docs.select(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("key"), "text")
-    bodies = saved(keyed.join(living.select("key"), "key", "left_semi").mapInArrow(blobs, "key binary, blob binary").dropDuplicates(["key"]))
     edges, members, size = None, living, None
     while True:
         dealt = saved(_blocks(members, ["home"]).filter("members > 1"))
@@ -303,7 +315,7 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
         edges = found if edges is None else edges.unionByName(found)
         members = dealt.filter("blocks > 1").select(*living.columns).join(found.select(F.col("a").alias("sid")).distinct(), "sid", "left_anti")
     if edges is None:
-        return spark.createDataFrame([], "a long, b long")
+        return bodies.sparkSession.createDataFrame([], "a long, b long")
     at = _blocks(grown(edges), ["home"]).withColumn("bucket", F.pmod(F.xxhash64("root"), F.col("blocks"))).select(*living.columns, "root", "bucket", (F.col("blocks") > 1).alias("crowded"))
     at = saved(_blocks(at, ["home", "bucket"]).withColumn("part", F.shiftleft("bucket", 20) + F.col("block")).select(*living.columns, "root", "crowded", "part"))
     rooted = saved(shared.join(at.select("k", "part", "root"), "k"))
@@ -322,10 +334,36 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
     return edges.unionByName(_compared(bodies, visits(near, asks, ["home", "part"]), k, num, den, False))
 
 
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, and the least that each can reach: labels fall to the least neighbour's, and to their label's label."""
+    nodes, both = np.unique(np.concatenate((u, v)), return_inverse=True)
+    x, y = both[: len(u)], both[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for at in (x, y, label[x], label[y]):
+            np.minimum.at(new, at, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _joined(batches):
+    pairs = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    if pairs:
+        nodes, roots = least_reached(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+        yield from pa.table({"node": nodes[nodes != roots], "root": roots[nodes != roots]}).to_batches(65_536)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of the edges can reach, by large and small stars in turn. Tables grow with the edges
-    alone, and a star with very many leaves is joined from files, so that its rows can be dealt out."""
+    """(node, root): the least node that each node of the edges can reach. A counted number of edges up to TASK_EDGES is joined in one task, more by large and small
+    stars in turn: tables grow with the edges alone, and a star with very many leaves is joined from files, so that its rows can be dealt out."""
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    if now.count() <= TASK_EDGES:
+        return saved(now.repartition(1).mapInArrow(_joined, "node long, root long"))
     state = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -141,6 +141,20 @@ def test_very_many_near_copies_do_not_meet_in_pairs(spark, monkeypatch, kinds):
     assert sum(moved) < 3 * len(docs), moved
 
 
+def test_least_reached_against_plain_search():
+    r = random.Random(77)
+    for _ in range(100):
+        n = r.randint(2, 40)
+        pairs = [(r.randrange(n) * 7, r.randrange(n) * 7) for _ in range(r.randint(1, 40))]
+        near = {x: {x} for p in pairs for x in p}
+        for _ in range(n):
+            for a, b in pairs:
+                near[a] = near[b] = near[a] | near[b]
+        u, v = (np.array(c) for c in zip(*pairs, strict=True))
+        nodes, roots = jaccard.least_reached(u, v)
+        assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {x: min(near[x]) for x in near}
+
+
 def test_one_of_each_group_stays(spark):
     base = prose(200)
     docs = [(4, base + " end", 1), (2, base, 2), (2, base, 3), (9, prose(50), 4), (None, "", 5), (None, None, 6), (7, base, 7)]
@@ -162,7 +176,9 @@ def test_one_of_each_where_ids_repeat_or_are_null(spark, tables):
     assert got == sorted(brute.one_of_each(made, 5, 80, 100), key=repr) and [i for i, _ in got].count(1) == 2 and [i for i, _ in got].count(None) == 2
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_of_a_long_chain(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "TASK_EDGES", most)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (499, 500)], "a long, b long")
     got = {r["node"]: r["root"] for r in jaccard.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {500: 499}
