@@ -65,6 +65,9 @@ SPACED_FOLDED = byte_table(SPACES, fold=True)
 ALNUM_FOLDED = byte_table(bytes([*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]), fold=True)
 
 
+SLICE = 1 << 17  # bytes of words that are looked up at a time
+
+
 def words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and its 64-bit identity."""
     counts = table[np.frombuffer(data, np.uint8)]
@@ -72,16 +75,18 @@ def words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     inside[1:-1] = counts > 0
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return starts, ends, np.empty(0, np.uint64)
-    sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
-    code = counts[counts > 0].astype(np.int64) - 1
-    ids = np.add.reduceat(NUMBERS[np.minimum(place, PLACES - 1) * 256 + code], first)
-    for i in np.flatnonzero(sizes > PLACES).tolist():
-        word = code[first[i] : first[i] + sizes[i]].astype(np.uint8).tobytes()
-        ids[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"word").digest(), "little")
+    ids = np.empty(len(starts), np.uint64)
+    cuts = np.append(np.flatnonzero(np.diff(starts // SLICE, prepend=-1)), len(starts))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        sizes = (ends[a:b] - starts[a:b]).astype(np.int32)
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        here = counts[starts[a] : ends[b - 1]]
+        at = here[here > 0].astype(np.int32) - 1  # bytes of words, and from here on their places in NUMBERS
+        at += np.minimum(np.arange(len(at), dtype=np.int32) - np.repeat(first, sizes), PLACES - 1) * 256
+        ids[a:b] = np.add.reduceat(NUMBERS[at], first)
+        for i in np.flatnonzero(sizes > PLACES).tolist():
+            word = (counts[starts[a + i] : ends[a + i]] - 1).astype(np.uint8).tobytes()
+            ids[a + i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"word").digest(), "little")
     return starts, ends, ids
 
 
