@@ -45,6 +45,7 @@ def step(edges: DataFrame, state: DataFrame, base: float, params: PageRankParams
 
 def _in_one_task(vertices: DataFrame, edges: DataFrame, params: PageRankParams) -> DataFrame:
     """RUN rows: the ranks (t = 0), and the error, dangling mass, sum and time of every iteration. vertices(id, out_deg, class)."""
+    damping, tol, most, real = params.damping, params.tol, params.max_iters, np.float64 if params.precision == "double" else np.float32
     both = vertices.select("id", F.col("out_deg").alias("x"), "class").unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("x"), F.lit(-1).alias("class")))
 
     def run(batches):
@@ -59,24 +60,23 @@ def _in_one_task(vertices: DataFrame, edges: DataFrame, params: PageRankParams)
         lengths = np.bincount(dst, minlength=len(node))
         rows = np.flatnonzero(lengths)
         first = (np.cumsum(lengths) - lengths)[rows]
-        real = np.float64 if params.precision == "double" else np.float32
         n, free = len(node), out == 0
         share = np.where(free, 0.0, 1.0 / np.maximum(out, 1))
         rank = np.full(n, 1.0 / n, real)
-        dangling, t = float(rank[free].sum(dtype=np.float64)), 0
+        lost, t = float(rank[free].sum(dtype=np.float64)), 0
         begun = time.perf_counter()
-        while t < params.max_iters:
+        while t < most:
             t += 1
             contrib = (rank.astype(np.float64) * share).astype(real)
             total = np.zeros(n)
             if len(rows):
                 total[rows] = np.add.reduceat(contrib[src], first, dtype=np.float64)
-            new = ((1 - params.damping) / n + params.damping * dangling / n + params.damping * total).astype(real)
+            new = ((1 - damping) / n + damping * lost / n + damping * total).astype(real)
             err = float(np.bincount(cls, np.abs(new.astype(np.float64) - rank), minlength=1).sum())  # the classes' partial errors
             rank = new
-            dangling = float(rank[free].sum(dtype=np.float64))
-            yield pa.RecordBatch.from_pydict({"t": [t], "id": [None], "value": [err], "dangling": [dangling], "total": [float(rank.sum(dtype=np.float64))], "seconds": [time.perf_counter() - begun]}, RUN)
-            if err < params.tol:
+            lost = float(rank[free].sum(dtype=np.float64))
+            yield pa.RecordBatch.from_pydict({"t": [t], "id": [None], "value": [err], "dangling": [lost], "total": [float(rank.sum(dtype=np.float64))], "seconds": [time.perf_counter() - begun]}, RUN)
+            if err < tol:
                 break
         for a in range(0, n, 65_536):
             b = min(a + 65_536, n)

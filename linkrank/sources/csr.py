@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.graph import Graph, renumbered, row_pointers
+from ..workers import ship
 
 # Fixed values of the format.
 MAGIC = b"PRCSR001"
@@ -156,7 +157,7 @@ class CsrSource(DataSource):
 
 
 def read_csr(spark: SparkSession, path: str, columns: str = "edges", partitions: int | None = None) -> DataFrame:
-    spark.dataSource.register(CsrSource)
+    ship(spark).dataSource.register(CsrSource)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return spark.read.format("csr").option("columns", columns).option("partitions", parts).load(path)
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..workers import ship
+
 # Fixed names of the format: our name, the file's table, its columns and their types here.
 TABLES = {
     "strings": ("StringIds", "id long, value string"),
@@ -68,7 +70,7 @@ class TraceSource(DataSource):
 def read_trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """calls(start, end, name, correlationId), their names cut at the version suffix, and work(start, end, name, bytes, correlationId). A copy is named
     by its direction, and replaces a kernel with its correlation id; a kernel has no bytes."""
-    spark.dataSource.register(TraceSource)
+    ship(spark).dataSource.register(TraceSource)
     read = lambda table: spark.read.format("trace_db").option("table", table).load(path)
     names = read("strings").withColumnsRenamed({"id": "nameId", "value": "name"})
     calls = read("calls").join(names, "nameId").select("start", "end", F.substring_index("name", "_v", 1).alias("name"), "correlationId")
