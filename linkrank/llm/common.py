@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import SparkSession
 
+from .. import workers
 from ..scratch import saved, scratch_dir
 
 
@@ -20,23 +18,11 @@ BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in Python workers, wherever they run, and keeps the Arrow batches between them and the JVM small:
+    """Makes the package importable in Python workers and keeps the Arrow batches between them and the JVM small:
     ten thousand texts a batch, the default, are held several times over. Once a session."""
-    import linkrank
-
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-    context = spark.sparkContext
-    if getattr(context, "_linkrank_shipped", None) is None:
-        root = Path(next(iter(linkrank.__path__)))
-        path = Path(tempfile.mkdtemp(prefix="linkrank-")) / "linkrank.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for f in sorted(root.rglob("*.py")):
-                out.write(f, f.relative_to(root.parent))
-        context.addPyFile(str(path))
-        context._linkrank_shipped = path
-    return spark
+    return workers.ship(spark)
 
 
 def parts(spark: SparkSession) -> int:
