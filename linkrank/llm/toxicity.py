@@ -18,10 +18,10 @@ FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 FIRST, SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
 
-def discount(n: np.ndarray) -> float:
-    """The absolute discount of Kneser and Ney, from how many counts are 1 and 2; below 1, so that something is left of each count."""
-    once, twice = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
-    return once / (once + 2 * twice) if twice else 0.75
+def discount(once: int, twice: int) -> float:
+    """The absolute discount of Kneser and Ney, from how many counts are 1 and 2; from 0.1 to below 1, so that something is left of each count and for
+    what has none."""
+    return max(0.1, once / (once + 2 * twice)) if twice else 0.75
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ def kneser_ney(counts: DataFrame, cutoff: int = 1) -> Model:
     pooled = (n[0] > 0).cast("long") + (n[1] > 0).cast("long")
     tally = lambda c, k: F.count_if(c == k)
     once = counts.agg(*(tally(c, k) for c in (*n, pooled) for k in (1, 2))).first()
-    d = [a / (a + 2 * b) if b else 0.75 for a, b in zip(once[::2], once[1::2], strict=True)]
+    d = [discount(a, b) for a, b in zip(once[::2], once[1::2], strict=True)]
     some = lambda c: F.count_if(F.col(c) > 0).alias(c)
     ends = counts.groupBy("w").agg(some("n0"), some("n1")).toPandas()
     starts = counts.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(pooled).alias("n2")).toPandas()
@@ -138,7 +138,7 @@ def kneser_ney(counts: DataFrame, cutoff: int = 1) -> Model:
 
     def spread(c, below, unknown):
         """Counts less their discount, as shares, over `below`."""
-        e, total = discount(c), max(c.sum(), 1.0)
+        e, total = discount(np.count_nonzero(c == 1), np.count_nonzero(c == 2)), max(c.sum(), 1.0)
         taken = np.maximum(c - e, 0.0) / total
         spare = 1.0 - taken.sum()
         return taken + spare * below, spare * unknown
@@ -150,7 +150,7 @@ def kneser_ney(counts: DataFrame, cutoff: int = 1) -> Model:
     each = kept[["n0", "n1"]].to_numpy(float).T
     each = np.vstack((each, (each > 0).sum(axis=0)))
     share = np.maximum(each - np.array(d)[:, None], 0.0) / np.maximum(contexts[:, v], 1.0)
-    left = 1.0 - np.stack([np.bincount(v, x, minlength=len(word)) for x in share])
+    left = np.maximum(1.0 - np.stack([np.bincount(v, x, minlength=len(word)) for x in share]), 1e-6)  # rounding alone could leave less
     key = pair_keys(ids(kept["v"]), ids(kept["w"]))
     order = np.argsort(key)
     small = lambda x: x.astype(np.float32)

@@ -551,7 +551,7 @@ def plain_kneser_ney(texts):
 
     def discount(counts):
         once, twice = (sum(x == k for x in counts) for k in (1, 2))
-        return once / (once + 2 * twice) if twice else 0.75
+        return max(0.1, once / (once + 2 * twice)) if twice else 0.75
 
     def level(counts, below):
         """counts of words, and p of the level below -> p"""
@@ -580,15 +580,17 @@ def plain_kneser_ney(texts):
     return vocabulary, lambda c, v: after({(a, b): x for (k, a, b), x in n.items() if k == c}, dc[c], after(pooled, dp, base[c], v), v)
 
 
-def test_kneser_ney_models_sum_to_one_and_equal_plain_sums(spark):
+@pytest.mark.parametrize(("words", "texts"), [(12, 25), (3, 60)])
+def test_kneser_ney_models_sum_to_one_and_equal_plain_sums(spark, words, texts):
+    """Many rare pairs, and few words of which none is rare: what was never seen has a probability above 0 all the same."""
     r = random.Random(71)
-    made = [(" ".join(r.choice(VOCABULARY[: 12 + 10 * x]) for _ in range(r.randint(1, 30))), x) for _ in range(25) for x in (0, 1)]
+    made = [(" ".join(r.choice(VOCABULARY[: words + 2 * x]) for _ in range(r.randint(1, 30))), x) for _ in range(texts) for x in (0, 1)]
     made += [("alone", 0), ("", 1), (None, 0)]
     model = toxicity.kneser_ney(toxicity._counted(spark.createDataFrame(made, "text string, toxic int").repartition(3)), cutoff=0)
     vocabulary, plain = plain_kneser_ney([(t or "", x) for t, x in made])
     assert {int(x) for x in model.word} == {int(toxicity.tokens(w)[0]) for w in vocabulary}
     pruned = toxicity.kneser_ney(toxicity._counted(spark.createDataFrame(made, "text string, toxic int")), cutoff=2)
-    assert 0 < len(pruned.pair) < len(model.pair)
+    assert 0 < len(pruned.pair) <= len(model.pair) and np.isfinite(model.differences(toxicity.tokens(f"new {made[0][0]} words here {made[1][0]}"))).all()
     for v in [*sorted(vocabulary), "neverseen"]:
         want = [plain(c, v) for c in (0, 1)]
         got = {w: model.probabilities(toxicity.tokens(f"{v} {w}"))[:, 1] for w in [*vocabulary, "unheardof"]}
