@@ -42,7 +42,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 class Bucketed:
     """The rows, written once to the shared folder in as many buckets by `column` as there are shuffle partitions, and sorted by it: joins and sums by it need
-    no exchange. drop() forgets the table's name; `plain` reads its files without it."""
+    no exchange. drop() forgets the table's name, and deletes its files if asked; `plain` reads its files without it."""
 
     def __init__(self, df: DataFrame, column: str):
         spark = df.sparkSession
@@ -51,8 +51,11 @@ class Bucketed:
         df.write.bucketBy(parts, column).sortBy(column).option("path", self.path).option("compression", "zstd").format("parquet").saveAsTable(self.name)
         self.rows = spark.table(self.name)
 
-    def drop(self) -> None:
+    def drop(self, files: bool = False) -> None:
         self.spark.sql(f"drop table if exists {self.name}")
+        if files:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def plain(self) -> DataFrame:
         return self.spark.read.schema(self.rows.schema).parquet(self.path)
