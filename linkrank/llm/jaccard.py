@@ -53,9 +53,16 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([part] * chunks, pa.int32()), pa.array([c.tobytes() for c in np.split(counts, chunks)], pa.binary())], schema=schema)
 
     def count(batches):
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts, held, size = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
         for (text,) in rows_of(batches, "text"):
-            counts += np.bincount((shingle_set(text, k) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)) if text else 0
+            if text:
+                held.append((shingle_set(text, k) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                size += len(held[-1])
+            if size >= 1 << 18:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
         if counts.any():
             yield rows(counts)
 
@@ -290,7 +297,7 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, nu
     try:
         return _found(bodies.rows, shared, living, k, num, den)
     finally:
-        bodies.drop()
+        bodies.drop(files=True)
 
 
 def _found(bodies: DataFrame, shared: DataFrame, living: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -300,9 +307,13 @@ def _found(bodies: DataFrame, shared: DataFrame, living: DataFrame, k: int, num:
         return living.join(components(edges), F.col("sid") == F.col("node"), "left").select(*living.columns, F.coalesce("root", "sid").alias("root"))
 
     def visits(members, queries, group):
-        gid = F.xxhash64(*group).alias("gid")
-        asked = queries.select("k", gid).join(living.select("k", "sid", "key"), "k").select("gid", "sid", "key", F.lit(1).alias("role"), F.lit(0).cast("long").alias("root"))
-        return saved(members.select(gid, "sid", "key", F.lit(0).alias("role"), "root").unionByName(asked))
+        """Sets that query a group in numbers are dealt out, each lot with the group's members."""
+        asked = queries.select("k", *group)
+        lots = saved(asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("lots")))
+        gid = F.xxhash64(*group, "lot").alias("gid")
+        here = members.join(lots, group, "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1)))
+        there = asked.join(lots, group).withColumn("lot", F.pmod(F.xxhash64("k", F.lit(2)), F.col("lots")).cast("int")).select("k", gid).join(living.select("k", "sid", "key"), "k")
+        return saved(here.select(gid, "sid", "key", F.lit(0).alias("role"), "root").unionByName(there.select("gid", "sid", "key", F.lit(1).alias("role"), F.lit(0).cast("long").alias("root"))))
 
     edges, members, size = None, living, None
     while True:
