@@ -63,6 +63,19 @@ def test_against_dense_iteration_and_float(spark):
     assert np.allclose([near[i] for i in range(40)], dense(pairs, 40), atol=1e-5)
 
 
+def test_reference_ranks_of_a_graph_too_large_for_a_dense_matrix(spark, monkeypatch):
+    """Rows that lie in many pieces, rows without entries, nodes without edges: without a dense matrix the ranks are the same."""
+    rng = np.random.default_rng(5)
+    pairs = [(int(a) * 7, int(b) * 7) for a, b in rng.integers(0, 60, (200, 2))] + [(i * 7, 0) for i in range(60)]
+    g = graph.from_edges(edges(spark, [*pairs, (500, 500)]), drop_self_loops=True, keep=True)
+    want = ranks_of(verify.dense_ranks(g))
+    monkeypatch.setattr(verify, "DENSE_NODES", 10)
+    monkeypatch.setattr(verify, "PIECE", 16)
+    monkeypatch.setattr(verify.np, "zeros", lambda shape, *a, f=np.zeros, **k: f(shape, *a, **k) if np.isscalar(shape) else pytest.fail("a dense matrix"))
+    got = ranks_of(verify.dense_ranks(g))
+    assert len(got) == 61 and got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-14) for i in want)
+
+
 def test_duplicates_and_loops(spark):
     raw = edges(spark, [(5, 9)] * 3 + [(9, 5)] + [(9, 9)] * 2)
     assert tuple(graph.edge_stats(raw).first()) == (6, 3, 2, 3)
