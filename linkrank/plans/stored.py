@@ -160,21 +160,14 @@ def _trace_file(spark, d):
     a kernel with their correlation id beside them."""
     names = {1: "cudaLaunchKernel_v7000", 2: "cudaMemcpyAsync_v3020", 3: "cudaMemcpy_v3020", 4: "cudaEventSynchronize_v3020", 5: "cudaStreamSynchronize_v3020", 10: "contrib_kernel", 11: "accumulate_thread", 12: "gather_block", 13: "scatter_host_ranks"}
     e = table(spark, d, "events").select(F.col("event_id").alias("c"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), F.col("event_type").alias("k"), F.round(F.col("value") * 100).cast("long").alias("v"))
-    call = {"purchase": 1, "view": 1, "signup": 4, "error": 5}
-    calls, kernels, copies = [], [], []
-    for c, s, k, v in e.collect():  # a small file, made for the test
-        name = call.get(k) or (3 if c % 5 == 0 else 2)
-        calls.append((s, s + 3 + c % 7, name, c))
-        if k == "purchase":
-            kernels.append((s + 2, s + 40 + c % 11, 10, c))
-        elif k == "view":
-            kernels.append((s + 1, s + 9 + c % 13, 11 + c % 3, c))
-        elif k == "click":
-            copies.append((s + 1, s + 2 + v % 17, 1 + c % 3 % 2, v, c))
-            if c % 4 == 0:
-                kernels.append((s + 1, s + 5, 11, c))
+    c, s, k, v = (F.col(x) for x in "cskv")
+    row = lambda table, *fields: F.struct(F.lit(table).alias("table"), *(F.lit(x).cast("long").alias(n) for x, n in zip((*fields, None), "abcde")))  # noqa: E731, B905
+    name = F.when(k.isin("purchase", "view"), 1).when(k == "signup", 4).when(k == "error", 5).when(c % 5 == 0, 3).otherwise(2)
+    kernel = F.when(k == "purchase", row("kernels", s + 2, s + 40 + c % 11, 10, c)).when(k == "view", row("kernels", s + 1, s + 9 + c % 13, 11 + c % 3, c)).when((k == "click") & (c % 4 == 0), row("kernels", s + 1, s + 5, 11, c))
+    copy = F.when(k == "click", row("memcpys", s + 1, s + 2 + v % 17, 1 + c % 3 % 2, v, c))
+    rows = e.select(F.explode(F.array_compact(F.array(row("calls", s, s + 3 + c % 7, name, c), kernel, copy))).alias("x")).select("x.*")
     path = local_file(spark, "trace.sqlite")
-    trace_db.write_trace(path, names.items(), calls, kernels, copies)
+    trace_db.save_trace(path, list(names.items()), rows)
     return path
 
 

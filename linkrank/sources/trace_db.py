@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
+import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -83,11 +86,43 @@ def read_trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def write_trace(path: str, strings, calls, kernels, memcpys) -> None:
     """A small trace file, for tests: rows as TABLES has their columns."""
+    write_rows(path, [("strings", strings), ("calls", calls), ("kernels", kernels), ("memcpys", memcpys)])
+
+
+def write_rows(path: str, groups) -> None:
+    """A trace file of groups (our table name, rows), one held at a time."""
     db = sqlite3.connect(path)
-    for name, rows in (("strings", strings), ("calls", calls), ("kernels", kernels), ("memcpys", memcpys)):
-        table, ddl = TABLES[name]
-        columns = ", ".join(f'"{c.split()[0]}"' for c in ddl.split(", "))
-        db.execute(f"create table {table} ({columns})")
-        db.executemany(f"insert into {table} values ({', '.join('?' * len(ddl.split(', ')))})", rows)
+    for pragma in ("journal_mode = off", "synchronous = off", "cache_size = -65536"):  # a new file: nothing to roll back to
+        db.execute(f"pragma {pragma}")
+    inserts = {}
+    for name, (table, ddl) in TABLES.items():
+        columns = ddl.split(", ")
+        db.execute(f"create table {table} ({', '.join(f'\"{c.split()[0]}\"' for c in columns)})")
+        inserts[name] = f"insert into {table} values ({', '.join('?' * len(columns))})"
+    for name, rows in groups:
+        db.executemany(inserts[name], rows)
     db.commit()
     db.close()
+
+
+def save_trace(path: str, strings: list[tuple[int, str]], rows: DataFrame) -> None:
+    """A trace file of any size: rows(table, and the columns by place), by our table names, pass through one task, as the format is one file. The path must be
+    visible to all executors; an attempt of the task that doesn't finish leaves no file at it."""
+    path = path.removeprefix("file://")
+
+    def write(batches):
+        beside = f"{path}-{uuid.uuid4().hex}"
+
+        def groups():
+            yield "strings", strings
+            for batch in batches:
+                for name in ("calls", "kernels", "memcpys"):
+                    part = batch.filter(pc.equal(batch.column(0), name))
+                    yield name, zip(*(c.to_pylist() for c in part.columns[1 : 1 + len(TABLES[name][1].split(", "))]), strict=True)
+
+        write_rows(beside, groups())
+        os.replace(beside, path)
+        yield from ()
+
+    ship(rows.sparkSession)
+    rows.coalesce(1).mapInArrow(write, "done boolean").collect()

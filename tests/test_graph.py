@@ -6,6 +6,7 @@ import pytest
 from linkrank.__main__ import main
 from linkrank.operators import benchlog, classes, graph, locality, pagerank, trace, verify
 from linkrank.params import PageRankParams
+from linkrank.plans import stored
 from linkrank.scratch import Bucketed, scratch_dir
 from linkrank.sources import csr, files, tables, trace_db
 
@@ -253,6 +254,15 @@ def test_trace_file(spark, tmp_path):
     assert (s["iterations"], s["upload_ms"], s["upload_mb"], s["download_ms"], s["wait_gpu_ms"]) == (5, 3e-6, 2.0, 16e-6, 9e-6)
 
 
+def test_trace_file_is_written_without_its_rows_on_the_driver(spark, tmp_path, monkeypatch):
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: rows if len(rows := f(self)) < 5 else pytest.fail("rows on the driver"))
+    kinds = ["purchase", "view", "click", "signup", "error"]
+    spark.range(40).selectExpr("id event_id", "timestamp_micros(id * 100) ts", f"array({str(kinds)[1:-1]})[id % 5] event_type", "id / 4 value").write.parquet(f"{tmp_path}/events.parquet")
+    calls, work = trace_db.read_trace(spark, stored._trace_file(spark, str(tmp_path)))
+    assert calls.count() == 40 and work.count() == 24 and work.filter("name = 'contrib_kernel'").agg({"start": "sum"}).toPandas().iloc[0, 0] == sum(100 * i + 2 for i in range(0, 40, 5))
+
+
 def test_median_gap_across_spans(spark, monkeypatch):
     monkeypatch.setattr(locality, "SPAN", 4)
     monkeypatch.setattr(locality, "WIDTH", 3)
