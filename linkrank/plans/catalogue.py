@@ -304,14 +304,14 @@ union all select 'all_values', max(abs(a.r - b.r)) <= 1e-8 from a join b using (
         + ", ".join(f"min(seconds) filter (build = 'hybrid' and cpu_share = {x}) share_{f'{x:g}'.replace('.', '_')}" for x in SHARES)
         + ", any_value(b.s) omp_seconds, any_value(b.t) omp_threads from best left join o using (graph, \"precision\") where build = 'hybrid' group by all",
     ),
-    "bench_best_threads": (lambda s, d: benchlog.best_threads(_best(s, d)), BEST + " select graph, \"precision\", min(seconds) omp_seconds, arg_min(threads, seconds) omp_threads from best where build = 'omp' group by all"),
+    "bench_best_threads": (lambda s, d: benchlog.best_threads(_best(s, d), "first_line"), BEST + " select graph, \"precision\", min(seconds) omp_seconds, arg_min(threads, seconds) omp_threads from best where build = 'omp' group by all"),
     "bench_threads_measured": (lambda s, d: runs(s, d).filter("build = 'omp'").select("graph", "threads").distinct(), f"select distinct graph, threads from ({RUNS}) where build = 'omp'"),
     "bench_speedup_efficiency": (
-        lambda s, d: _rounded(benchlog.speedups(_best(s, d)), "speedup", "efficiency"),
+        lambda s, d: _rounded(benchlog.speedups(_best(s, d)), "speedup", "efficiency").drop("first_line"),
         SPEED := BEST + ", q as (select graph, min(seconds) t1 from best where build = 'seq' group by 1) select graph, threads, round(t1/t, 9) speedup, round(t1/t/threads, 9) efficiency from (select graph, threads, min(seconds) t from best where build = 'omp' group by all) join q using (graph)",
     ),
     "bench_speedup_peak": (
-        lambda s, d: _rounded(benchlog.peak(benchlog.speedups(_best(s, d)), "graph", "threads", "speedup"), "speedup"),
+        lambda s, d: benchlog.peak(_rounded(benchlog.speedups(_best(s, d)), "speedup"), "graph", "threads", "speedup", "first_line"),
         f"select graph, arg_max(threads, speedup) threads, max(speedup) speedup from ({SPEED}) group by 1",
     ),
     "bench_share_speedup": (

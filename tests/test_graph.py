@@ -263,6 +263,24 @@ def test_trace_file_is_written_without_its_rows_on_the_driver(spark, tmp_path, m
     assert calls.count() == 40 and work.count() == 24 and work.filter("name = 'contrib_kernel'").agg({"start": "sum"}).toPandas().iloc[0, 0] == sum(100 * i + 2 for i in range(0, 40, 5))
 
 
+def test_times_of_zero_and_equal_times(spark):
+    """Over 0 a speed-up is infinite, of 0 and 0 not a number; among equals the earliest in the log counts, in the share table fewer threads."""
+    rows = [("a", "hybrid", 1, 0.0, 3.0, 1), ("a", "hybrid", 1, 0.5, 0.0, 2), ("a", "hybrid", 1, 1.0, 6.0, 3), ("b", "hybrid", 1, 0.0, 0.0, 4), ("b", "hybrid", 1, 0.5, 0.0, 5)]
+    rows += [("a", "seq", 1, 1.0, 4.0, 6), ("a", "omp", 4, 1.0, 2.0, 7), ("a", "omp", 1, 1.0, 2.0, 8), ("b", "seq", 1, 1.0, 0.0, 9), ("b", "omp", 8, 1.0, 0.0, 10), ("b", "omp", 2, 1.0, 1.0, 11)]
+    log = spark.createDataFrame([(g, b, "double", t, c, s, n) for g, b, t, c, s, n in rows], "graph string, build string, precision string, threads int, cpu_share double, seconds_total double, line_no long")
+    best = benchlog.best_per_config(log)
+    curve = benchlog.share_speedups(best)
+    speed = {(r["graph"], r["cpu_share"]): r["speedup"] for r in curve.collect()}
+    assert (speed["a", 0.0], speed["a", 0.5], speed["a", 1.0]) == (1.0, math.inf, 0.5) and math.isnan(speed["b", 0.0]) and math.isnan(speed["b", 0.5])
+    top = {r["graph"]: r for r in benchlog.best_share(curve).collect()}
+    assert (top["a"]["cpu_share"], top["a"]["gain"]) == (0.5, math.inf) and top["b"]["cpu_share"] == 0.0
+    assert benchlog.real_gains(curve).count() == 5
+    peaks = {r["graph"]: r for r in benchlog.peak(benchlog.speedups(best), "graph", "threads", "speedup", "first_line").collect()}
+    assert (peaks["a"]["threads"], peaks["a"]["speedup"], peaks["b"]["threads"]) == (4, 2.0, 8) and math.isnan(peaks["b"]["speedup"])
+    assert {r["graph"]: r["omp_threads"] for r in benchlog.best_threads(best, "first_line").collect()} == {"a": 4, "b": 8}
+    assert {r["graph"]: r["omp_threads"] for r in benchlog.share_table(best, [0.0]).collect()} == {"a": 1, "b": 8}
+
+
 def test_median_gap_across_spans(spark, monkeypatch):
     monkeypatch.setattr(locality, "SPAN", 4)
     monkeypatch.setattr(locality, "WIDTH", 3)
