@@ -281,6 +281,15 @@ def test_times_of_zero_and_equal_times(spark):
     assert {r["graph"]: r["omp_threads"] for r in benchlog.share_table(best, [0.0]).collect()} == {"a": 1, "b": 8}
 
 
+def test_report_puts_smaller_ids_first_among_ranks_that_rounding_tells_apart(spark, monkeypatch):
+    ring = edges(spark, [(i, (i + 1) % 12) for i in range(12)])
+    found = spark.createDataFrame([(i, 1 / 12 + (i % 3) * 1e-16) for i in range(12)], "id long, rank double")
+    assert found.select("rank").distinct().count() > 1
+    monkeypatch.setattr(stored, "mixed", lambda *_: ring)
+    monkeypatch.setattr(stored.pagerank, "pagerank", lambda g: (found, stored.PageRankStats(1, 0.0, 0.0, True), [(1, 0.0, 0.0, 1.0)]))
+    assert [r["key"] for r in stored._report(spark, "").filter("kind = 'top'").collect()] == [str(i) for i in range(10)]
+
+
 def test_median_gap_across_spans(spark, monkeypatch):
     monkeypatch.setattr(locality, "SPAN", 4)
     monkeypatch.setattr(locality, "WIDTH", 3)
