@@ -15,6 +15,7 @@ from .symbols import ALNUM_FOLDED, mix, words
 
 SPANS = (1, 4, 16)  # tokens in the stretches whose normalised likelihoods are compared
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
+BROADCAST_LABELS = 2_000_000  # some 50 MB; beyond, texts are dealt to their labels
 FIRST, SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
 
@@ -172,18 +173,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array([b[0] - slope @ mean, *slope])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes: int = 65_536, cutoff: int = 1) -> Model:
-    """Learns from labelled documents outside the held-out fold. Bounds of the sample: per_class documents of each label, the first by a hash
-    of doc_id, of max_bytes at most. One fold of the sample is kept from the counts and fits the weights and the prior that turn evidence into a score. With one class only, or none, the score of every text is the share of label 1."""
+def fit(docs: DataFrame, labels: DataFrame, cutoff: int = 1) -> Model:
+    """Learns from the whole texts of all labelled documents outside the held-out fold. One of their folds is kept from the counts and fits the weights and the
+    prior that turn evidence into a score. With one class only, or none, the score of every text is the share of label 1."""
     f = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", f).filter(F.col("fold") != HELD_OUT)
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     prior = size.get(1, 0) / max(1, sum(size.values()))
-    chosen = None
-    for toxic in (0, 1):
-        part = rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class if len(size) > 1 else 0)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    learned = rows if len(size) > 1 else rows.limit(0)
+    sample = docs.select("doc_id", "text").join(F.broadcast(learned) if sum(size.values()) <= BROADCAST_LABELS else learned, "doc_id")
     sample = saved(sample.select("text", "toxic", "fold"))
     counts = saved(_counted(sample.filter(F.col("fold") != CALIBRATION)))
     model = kneser_ney(counts, cutoff)

@@ -540,6 +540,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[5000]["score"] == got[5001]["score"] < 0.5 and got[None]["held_out"]
 
 
+def test_toxicity_learns_from_every_labelled_document_and_long_ones(spark, monkeypatch):
+    """More documents of a label than 4,000, and one longer than 64 KB: all but the held-out and the calibration fold are counted."""
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(i, f"word{i} and one more") for i in ids] + [(9001, "scoundrel and long " * 5000), (9002, "vilest and short"), (9003, "vilest and short")]
+    lab = [(i, 0) for i in ids] + [(9001, 1), (9002, 1), (9003, 1)]
+    met = []
+    monkeypatch.setattr(toxicity, "_counted", lambda sample, f=toxicity._counted: met.append(sample) or f(sample))
+    toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    want = {t for i, t in docs if fold(i) not in (toxicity.HELD_OUT, toxicity.CALIBRATION)}
+    assert len(want) > 4000 and max(map(len, want)) > 65_536
+    assert {r["text"] for r in met[0].collect()} == want
+
+
 def plain_kneser_ney(texts):
     """p(class, v, w) over the words of the texts and None, from sets and sums."""
     words_of = [(x, re.findall("[a-zé0-9]+", t.lower())) for t, x in texts]
