@@ -15,6 +15,7 @@ from .symbols import ALNUM_FOLDED, mix, words
 
 SPANS = (1, 4, 16)  # tokens in the stretches whose normalised likelihoods are compared
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
+TRIPLES = 3_000_000  # word triples that a task holds to send each once: 72 MB
 BROADCAST_LABELS = 2_000_000  # some 50 MB; beyond, texts are dealt to their labels
 FIRST, SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
@@ -102,19 +103,31 @@ def _counted(sample: DataFrame) -> DataFrame:
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("toxic", pa.int32())])
 
     def count(batches):
+        held, size = ([], []), 0
         for batch in batches:
-            for toxic in (0, 1):
-                ids = [np.concatenate((np.zeros(1, np.uint64), tokens(t))) for t, x in rows_of([batch], "text", "toxic") if x == toxic]
-                triples = [np.stack((a[:-2], a[1:-1], a[2:])) for a in ids if len(a) > 2]
-                if not triples:
-                    continue
-                u, v, w = np.concatenate(triples, axis=1)
-                first = np.unique(pair_keys(u, pair_keys(v, w)), return_index=True)[1]
-                for a in range(0, len(first), 100_000):
-                    b = first[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[b].view(np.int64)) for x in (u, v, w)), pa.array(np.full(len(b), toxic, np.int32))], schema=schema)
-
-    seen = sample.mapInArrow(count, "u long, v long, w long, toxic int").groupBy("u", "v", "w").agg(F.max(1 - F.col("toxic")).alias("n0"), F.max("toxic").alias("n1"))
+            for text, toxic in rows_of([batch], "text", "toxic"):
+                if len(t := tokens(text)):
+                    a = np.concatenate((np.zeros(1, np.uint64), t))
+                    if len(a) > 2:
+                        held[toxic].append(np.stack((a[:-2], a[1:-1], a[2:])))
+                        size += len(a) - 2
+                if size >= TRIPLES:
+                    yield from given(held)
+                    held, size = ([], []), 0
+        yield from given(held)
+
+    def given(held):
+        for toxic, triples in enumerate(held):
+            if not triples:
+                continue
+            u, v, w = np.concatenate(triples, axis=1)
+            first = np.unique(pair_keys(u, pair_keys(v, w)), return_index=True)[1]
+            for a in range(0, len(first), 100_000):
+                b = first[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[b].view(np.int64)) for x in (u, v, w)), pa.array(np.full(len(b), toxic, np.int32))], schema=schema)
+
+    met = sample.mapInArrow(count, "u long, v long, w long, toxic int").repartition("v", "w")  # one exchange for both sums
+    seen = met.groupBy("u", "v", "w").agg(F.max(1 - F.col("toxic")).alias("n0"), F.max("toxic").alias("n1"))
     return seen.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
