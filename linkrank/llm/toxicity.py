@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import zlib
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rows, rows_of, saved
+from .common import Rows, packed, parts, rows_of, saved, scratch_dir, unpacked
 from .symbols import ALNUM_FOLDED, mix, words
 
 SPANS = (1, 4, 16)  # tokens in the stretches whose normalised likelihoods are compared
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 TRIPLES = 3_000_000  # word triples that a task holds to send each once: 72 MB
+CODED, OTHER = 65_535, 65_535  # words that two bytes name on the way to the counts, and what stands for any other
+LEADING, LEADING_TEXTS = 4_000, 2_000  # characters of so many texts that choose those words; all words are counted alike
 BROADCAST_LABELS = 2_000_000  # some 50 MB; beyond, texts are dealt to their labels
 FIRST, SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
@@ -39,42 +43,126 @@ def fold(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode()) % FOLDS if doc_id is not None else HELD_OUT
 
 
+@dataclass
+class Table:
+    """Rows of numbers by sorted 64-bit keys, in two files of the shared folder that a process maps when it first looks, so that neither the driver nor a
+    task holds or sends them. Where the shared folder isn't one that tasks can open, the arrays themselves travel."""
+
+    size: int
+    width: int
+    kind: str
+    path: str | None = None
+    held: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | ({"held": None} if self.path else {})
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.held is None:
+            load = lambda name, kind, shape: np.asarray(np.memmap(f"{self.path}/{name}", kind, "r", shape=shape)) if self.size else np.empty(shape, kind)
+            self.held = load("keys", "<u8", (self.size,)), load("values", self.kind, (self.size, self.width))
+        return self.held
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A column of numbers for each id, and which ids are there; the others' numbers mean nothing."""
+        keys, values = self.arrays()
+        if not self.size:
+            return np.zeros((self.width, len(ids))), np.zeros(len(ids), bool)
+        at = np.minimum(np.searchsorted(keys, ids), self.size - 1)
+        return values[at].T.astype(float), keys[at] == ids
+
+
+def table(rows: DataFrame, kind: str) -> Table:
+    """rows(key long, numbers ...) with no key twice. Tasks sort the ranges of keys that they get and write them at their places."""
+    spark, names = rows.sparkSession, rows.columns[1:]
+    path, bits = scratch_dir(spark), max(1, (parts(spark) - 1).bit_length())
+    if not path.startswith("file:"):
+        every = rows.toPandas()
+        keys = every["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return Table(len(keys), len(names), kind, held=(keys[order], every[names].to_numpy(kind)[order]))
+    path = path.removeprefix("file://").removeprefix("file:")
+    dealt = rows.withColumn("part", F.shiftrightunsigned("key", 64 - bits).cast("int"))
+    sizes = np.zeros(1 << bits, np.int64)
+    for r in dealt.groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
+    starts, size = np.cumsum(sizes) - sizes, int(sizes.sum())
+    row = np.dtype(kind).itemsize * len(names)
+    os.makedirs(path)
+    for name, width in (("keys", 8), ("values", row)):
+        with open(f"{path}/{name}", "wb") as f:
+            f.truncate(width * size)
+
+    def put(batches):
+        if whole := [b for b in batches if b.num_rows]:
+            column = lambda name: np.concatenate([np.asarray(b.column(name)) for b in whole])
+            keys = column("key").view(np.uint64)
+            order = np.argsort(keys)
+            part, keys, values = column("part")[order], keys[order], np.stack([column(n).astype(kind) for n in names], axis=1)[order]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            with open(f"{path}/keys", "r+b") as k, open(f"{path}/values", "r+b") as v:
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+                    at = int(starts[part[a]])
+                    k.seek(8 * at)
+                    k.write(keys[a:b].astype("<u8").tobytes())
+                    v.seek(row * at)
+                    v.write(values[a:b].tobytes())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64())})
+
+    with released(spark):
+        put_there = dealt.repartitionById(1 << bits, "part").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+    if put_there != size:
+        raise RuntimeError(f"{put_there} of {size} rows were written")
+    return Table(size, len(names), kind, path)
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """What is made and run here deletes its shuffle files as it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass
 class Model:
-    """Sorted word keys with each class's probability without context, and, as contexts, what is left for the backoff; sorted pair keys with shares.
+    """Of each word, each class's probability without context and, of the word as a context, what is left for the backoff and one over how often it occurs:
+    in the classes and pooled. Of each pair, its contexts in both classes.
 
     p(w | class, v) = share + left * q, q(w | class, v) = pooled + pooled_left * base(w | class): the class after a word, then both classes
     after it, then the class alone, whose own backoff both share. Each sums to 1 over all words and the unknown one."""
 
-    word: np.ndarray
-    base: np.ndarray  # (2, n)
-    left: np.ndarray  # (2, n)
-    pooled_left: np.ndarray
+    words: Table  # base (2), left (2), pooled left, one over the context's count (2), and pooled
+    pairs: Table  # counts (2)
+    discounts: np.ndarray  # (3,): of the classes and pooled
     unknown: np.ndarray  # (2,)
-    pair: np.ndarray
-    share: np.ndarray  # (2, m)
-    pooled: np.ndarray
     weights: np.ndarray | None = None
     prior: float = 0.0
 
+    @property
+    def word(self) -> np.ndarray:
+        return self.words.arrays()[0]
+
+    @property
+    def pair(self) -> np.ndarray:
+        return self.pairs.arrays()[0]
+
     def probabilities(self, ids: np.ndarray) -> np.ndarray:
         """(2, tokens): of each token after the one before it, in the ordinary and the toxic model; 1 without any counts."""
-        if not len(ids) or not len(self.word):
+        if not len(ids) or not self.words.size:
             return np.ones((2, len(ids)))
-        at = np.minimum(np.searchsorted(self.word, ids), len(self.word) - 1)
-        known = self.word[at] == ids
-        p = np.where(known, self.base[:, at], self.unknown[:, None]).astype(float)
+        of, known = self.words.find(ids)
+        p = np.where(known, of[:2], self.unknown[:, None])
         if len(ids) > 1:
-            before, seen = at[:-1], known[:-1]
-            p[:, 1:] *= np.where(seen, self.pooled_left[before], 1.0)
-            left = np.where(seen, self.left[:, before], 1.0)
-            if len(self.pair):
-                key = pair_keys(ids[:-1], ids[1:])
-                k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-                met = self.pair[k] == key
-                p[:, 1:] = left * (p[:, 1:] + np.where(met, self.pooled[k], 0.0)) + np.where(met, self.share[:, k], 0.0)
-            else:
-                p[:, 1:] *= left
+            left = np.where(known[:-1], of[2:5, :-1], 1.0)
+            n, met = self.pairs.find(pair_keys(ids[:-1], ids[1:]))
+            n = np.vstack((n, (n > 0).sum(axis=0)))
+            share = np.where(met & known[:-1], np.maximum(n - self.discounts[:, None], 0.0) * of[5:, :-1], 0.0)
+            p[:, 1:] = left[:2] * (left[2] * p[:, 1:] + share[2]) + share[:2]
         return p
 
     def differences(self, ids: np.ndarray) -> np.ndarray:
@@ -97,78 +185,153 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
+class Codes:
+    """Triples of word identities in few bytes: two for each of the given words, eight more for any other."""
+
+    def __init__(self, common: np.ndarray):
+        self.common, order = common[:CODED], np.argsort(common[:CODED])
+        self.sorted, self.code = self.common[order], order.astype(np.uint16)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(ids), OTHER, np.uint16)
+        at = np.minimum(np.searchsorted(self.sorted, ids), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == ids, self.code[at], np.uint16(OTHER))
+
+    def packed(self, ids: np.ndarray, codes: np.ndarray) -> bytes:
+        """(3, n) identities and their codes, the codes' low and high bytes apart."""
+        return packed(codes.astype("<u2").reshape(-1).view(np.uint8).reshape(-1, 2).T.tobytes() + ids[codes == OTHER].astype("<u8").tobytes())
+
+    def unpacked(self, data: bytes, n: int) -> np.ndarray:
+        data = unpacked(data)
+        codes = np.ascontiguousarray(np.frombuffer(data, np.uint8, 6 * n).reshape(2, -1).T).view("<u2").reshape(3, n)
+        other, ids = codes == OTHER, np.empty((3, n), np.uint64)
+        ids[~other] = self.common[codes[~other]]
+        ids[other] = np.frombuffer(data, "<u8", offset=6 * n)
+        return ids
+
+
+def _codes(sample: DataFrame) -> Codes:
+    """By the words that are commonest in the beginnings of some texts. That only decides how many bytes a word takes."""
+    some = [tokens(r[0]) for r in sample.select(F.substring("text", 1, LEADING)).limit(LEADING_TEXTS).collect()]
+    met, n = np.unique(np.concatenate([np.empty(0, np.uint64), *some]), return_counts=True)
+    return Codes(met[np.argsort(-n, kind="stable")])
+
+
 def _counted(sample: DataFrame) -> DataFrame:
     """sample(text, toxic) -> v, w, n0, n1: after how many different words (or at the start) the pair v, w stands in each class. Such continuation counts
-    are what Kneser and Ney back off to; a passage that many texts carry is one context, however often it stands."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("toxic", pa.int32())])
+    are what Kneser and Ney back off to; a passage that many texts carry is one context, however often it stands.
 
-    def count(batches):
-        held, size = ([], []), 0
-        for batch in batches:
-            for text, toxic in rows_of([batch], "text", "toxic"):
-                if len(t := tokens(text)):
-                    a = np.concatenate((np.zeros(1, np.uint64), t))
-                    if len(a) > 2:
-                        held[toxic].append(np.stack((a[:-2], a[1:-1], a[2:])))
-                        size += len(a) - 2
-                if size >= TRIPLES:
-                    yield from given(held)
-                    held, size = ([], []), 0
-        yield from given(held)
-
-    def given(held):
+    Each task sends the different triples of some three million tokens in one piece for each lot of pairs and class; a lot's triples are counted together."""
+    spark = sample.sparkSession
+    lots, codes = min(parts(spark), 65_536), spark.sparkContext.broadcast(_codes(sample))
+    schema = pa.schema([("lot", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64()), ("triples", pa.binary())])
+
+    def send(batches):
+        held, size, out = ([], []), 0, Rows(schema)
+        for text, toxic in rows_of(batches, "text", "toxic"):
+            if len(t := tokens(text)) > 1:
+                a = np.concatenate((np.zeros(1, np.uint64), t))
+                held[toxic].append(np.stack((a[:-2], a[1:-1], a[2:])))
+                size += len(a) - 2
+            if size >= TRIPLES:
+                yield from given(held, out)
+                held, size = ([], []), 0
+        yield from given(held, out)
+        yield out.take()
+
+    def given(held, out):
         for toxic, triples in enumerate(held):
             if not triples:
                 continue
-            u, v, w = np.concatenate(triples, axis=1)
-            first = np.unique(pair_keys(u, pair_keys(v, w)), return_index=True)[1]
-            for a in range(0, len(first), 100_000):
-                b = first[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[b].view(np.int64)) for x in (u, v, w)), pa.array(np.full(len(b), toxic, np.int32))], schema=schema)
+            ids = np.concatenate(triples, axis=1)
+            pair = pair_keys(ids[1], ids[2])
+            first = np.unique(pair_keys(ids[0], pair), return_index=True)[1]
+            ids, lot = ids[:, first], pair[first] % np.uint64(lots)
+            code = np.stack([codes.value.of(x) for x in ids])
+            u, v, w = code.astype(np.uint64)
+            order = np.argsort(lot << np.uint64(48) | v << np.uint64(32) | w << np.uint64(16) | u)
+            ids, code, lot = ids[:, order], code[:, order], lot[order]
+            ends = np.append(np.flatnonzero(np.diff(lot)) + 1, len(lot)).tolist()
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                data = codes.value.packed(ids[:, a:b], code[:, a:b])
+                if out.add(int(lot[a]), toxic, b - a, data, weight=len(data) + 64):
+                    yield out.take()
+
+    counts = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
 
-    met = sample.mapInArrow(count, "u long, v long, w long, toxic int").repartition("v", "w")  # one exchange for both sums
-    seen = met.groupBy("u", "v", "w").agg(F.max(1 - F.col("toxic")).alias("n0"), F.max("toxic").alias("n1"))
-    return seen.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    def count(batches):
+        lot_of = {}
+        for lot, toxic, n, data in rows_of(batches, "lot", "toxic", "n", "triples"):
+            lot_of.setdefault(lot, ([], []))[toxic].append((data, n))
+        while lot_of:
+            each = []
+            for pieces in lot_of.popitem()[1]:
+                u, v, w = np.concatenate([np.empty((3, 0), np.uint64), *(codes.value.unpacked(*x) for x in pieces)], axis=1)
+                pair = pair_keys(v, w)
+                different = np.unique(pair_keys(u, pair), return_index=True)[1]
+                key, first, n = np.unique(pair[different], return_index=True, return_counts=True)
+                each.append((key, v[different[first]], w[different[first]], n))
+            key = np.union1d(each[0][0], each[1][0])
+            out = np.zeros((4, len(key)), np.int64)
+            for toxic, (mine, v, w, n) in enumerate(each):
+                at = np.searchsorted(key, mine)
+                out[0, at], out[1, at], out[2 + toxic, at] = v.view(np.int64), w.view(np.int64), n
+            out = out[:, np.lexsort((out[1], out[0]))]
+            for a in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in out], schema=counts)
+
+    sent = sample.select("text", "toxic").mapInArrow(send, "lot int, toxic int, n long, triples binary")
+    return sent.repartitionById(lots, "lot").mapInArrow(count, "v long, w long, n0 long, n1 long")
+
+
+def _keyed(pairs: DataFrame) -> DataFrame:
+    """pairs(v, w, n0, n1) -> key, n0, n1."""
+    schema = pa.schema([("key", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+
+    def key(batches):
+        for b in batches:
+            v, w = (np.asarray(b.column(c)).view(np.uint64) for c in ("v", "w"))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(v, w).view(np.int64)), b.column("n0"), b.column("n1")], schema=schema)
+
+    return pairs.mapInArrow(key, "key long, n0 long, n1 long")
 
 
 def kneser_ney(counts: DataFrame, cutoff: int = 1) -> Model:
     """Both classes' interpolated models from continuation counts of pairs. Each level's discount comes from its own counts. The pooled level and the words'
     backoff count in how many classes an expression occurs, 1 or 2: a class is a context like any other, so rare expressions count alike for
-    both. Pairs with no more than `cutoff` contexts aren't kept; what they would have goes to the backoff."""
+    both. Pairs with no more than `cutoff` contexts aren't kept; what they would have goes to the backoff. The driver gets sums alone."""
+    spark = counts.sparkSession
     n = [F.col(c) for c in ("n0", "n1")]
-    pooled = (n[0] > 0).cast("long") + (n[1] > 0).cast("long")
-    tally = lambda c, k: F.count_if(c == k)
-    once = counts.agg(*(tally(c, k) for c in (*n, pooled) for k in (1, 2))).first()
-    d = [discount(a, b) for a, b in zip(once[::2], once[1::2], strict=True)]
-    some = lambda c: F.count_if(F.col(c) > 0).alias(c)
-    ends = counts.groupBy("w").agg(some("n0"), some("n1")).toPandas()
-    starts = counts.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(pooled).alias("n2")).toPandas()
-    kept = counts.filter(n[0] + n[1] > cutoff).toPandas()
-    ids = lambda c: c.to_numpy(np.int64).view(np.uint64)
-    word = np.unique(np.concatenate((ids(ends["w"]), ids(starts["v"]))))
-    types, contexts = np.zeros((2, len(word))), np.zeros((3, len(word)))
-    types[:, np.searchsorted(word, ids(ends["w"]))] = ends[["n0", "n1"]].to_numpy(float).T
-    contexts[:, np.searchsorted(word, ids(starts["v"]))] = starts[["n0", "n1", "n2"]].to_numpy(float).T
-
-    def spread(c, below, unknown):
-        """Counts less their discount, as shares, over `below`."""
-        e, total = discount(np.count_nonzero(c == 1), np.count_nonzero(c == 2)), max(c.sum(), 1.0)
-        taken = np.maximum(c - e, 0.0) / total
-        spare = 1.0 - taken.sum()
-        return taken + spare * below, spare * unknown
-
-    uniform = 1.0 / (len(word) + 1)
-    shared, unknown = spread((types > 0).sum(axis=0).astype(float), np.full(len(word), uniform), uniform)
-    base = [spread(c, shared, unknown) for c in types]
-    v = np.searchsorted(word, ids(kept["v"]))
-    each = kept[["n0", "n1"]].to_numpy(float).T
-    each = np.vstack((each, (each > 0).sum(axis=0)))
-    share = np.maximum(each - np.array(d)[:, None], 0.0) / np.maximum(contexts[:, v], 1.0)
-    left = np.maximum(1.0 - np.stack([np.bincount(v, x, minlength=len(word)) for x in share]), 1e-6)  # rounding alone could leave less
-    key = pair_keys(ids(kept["v"]), ids(kept["w"]))
-    order = np.argsort(key)
-    small = lambda x: x.astype(np.float32)
-    return Model(word, small(np.stack([b for b, _ in base])), small(left[:2]), small(left[2]), small(np.array([u for _, u in base])), key[order], small(share[:2, order]), small(share[2, order]))
+    n.append(sum((c > 0).cast("long") for c in n))
+    tally = lambda c: [F.count_if(c == k) for k in (1, 2)]
+    once = counts.agg(*(x for c in n for x in tally(c))).first()
+    d = np.array([discount(a, b) for a, b in zip(once[::2], once[1::2], strict=True)])
+    # As a word, t: before how many words it stands. As a context, c: its counts; m, k: those of pairs that are kept, and how many of these are above 0.
+    kept, none = n[0] + n[1] > cutoff, F.lit(0).cast("long")
+    names = [*(f"t{i}" for i in range(2)), *(f"{x}{i}" for x in "cmk" for i in range(3))]
+    as_word = [*((c > 0).cast("long") for c in n[:2]), *[none] * 9]
+    as_context = [*[none] * 2, *n, *(F.when(kept, c).otherwise(none) for c in n), *(((c > 0) & kept).cast("long") for c in n)]
+    role = lambda word, values: counts.select(F.col(word).alias("key"), *(x.alias(a) for x, a in zip(values, names, strict=True)))
+    with released(spark):
+        known = saved(role("w", as_word).unionAll(role("v", as_context)).groupBy("key").agg(*(F.sum(x).alias(x) for x in names)))
+    types = [F.col("t0"), F.col("t1")]
+    types.append(sum((c > 0).cast("long") for c in types))
+    size, *met = known.agg(F.count("key"), *(x for c in types for x in (F.sum(c), F.count_if(c > 0), *tally(c)))).first()
+
+    def spread(c: Column, total, above, one, two):
+        """Counts less their discount, as shares; what is spared for the level below."""
+        e, total = discount(one, two), max(total or 0, 1)
+        return F.greatest(c - F.lit(e), F.lit(0.0)) / F.lit(float(total)), 1.0 - ((total - e * above) / total if above else 0.0)
+
+    uniform = 1.0 / (size + 1)
+    level = [spread(c, *met[4 * i : 4 * i + 4]) for i, c in enumerate(types)]
+    shared, unknown = level[2][0] + F.lit(level[2][1] * uniform), level[2][1] * uniform
+    base = [taken + F.lit(spare) * shared for taken, spare in level[:2]]
+    occurs = [F.greatest(F.col(f"c{i}"), F.lit(1)) for i in range(3)]
+    left = [F.greatest(1.0 - (F.col(f"m{i}") - F.lit(float(d[i])) * F.col(f"k{i}")) / occurs[i], F.lit(1e-6)) for i in range(3)]  # rounding alone could leave less
+    values = [x.cast("float").alias(f"x{i}") for i, x in enumerate([*base, *left, *(1.0 / c for c in occurs)])]
+    return Model(table(known.select("key", *values), "<f4"), table(_keyed(counts.filter(kept)), "<i4"), d, np.array([spare * unknown for _, spare in level[:2]]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -196,25 +359,27 @@ def fit(docs: DataFrame, labels: DataFrame, cutoff: int = 1) -> Model:
     learned = rows if len(size) > 1 else rows.limit(0)
     sample = docs.select("doc_id", "text").join(F.broadcast(learned) if sum(size.values()) <= BROADCAST_LABELS else learned, "doc_id")
     sample = saved(sample.select("text", "toxic", "fold"))
-    counts = saved(_counted(sample.filter(F.col("fold") != CALIBRATION)))
+    with released(docs.sparkSession):
+        counts = saved(_counted(sample.filter(F.col("fold") != CALIBRATION)))
     model = kneser_ney(counts, cutoff)
     model.prior = prior
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("y", pa.int64()), ("x", pa.list_(pa.float64()))])
+    names = [f"x{i}" for i in range(len(SPANS) + 1)]
+    schema = pa.schema([("y", pa.int64()), *((x, pa.float64()) for x in names)])
 
     def measure(batches):
         out = Rows(schema)
         for text, toxic in rows_of(batches, "text", "toxic"):
-            if out.add(toxic, shared.value.evidence(text)):
+            if out.add(toxic, *shared.value.evidence(text)):
                 yield out.take()
         yield out.take()
 
-    seen = sample.filter(F.col("fold") == CALIBRATION).select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(measure, "y long, x array<double>").toPandas()
+    seen = sample.filter(F.col("fold") == CALIBRATION).select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(measure, f"y long, {', '.join(f'{x} double' for x in names)}").toPandas()
     y = seen["y"].to_numpy()
     if len(set(y)) == 2:
         share = np.array([(y == c).mean() for c in (0, 1)])
         true = np.array([1 - prior, prior])
-        model.weights = _logistic(np.array(seen["x"].tolist()), y, (true / share)[y])
+        model.weights = _logistic(seen[names].to_numpy(), y, (true / share)[y])
     return model
 
 

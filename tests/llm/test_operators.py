@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import math
+import pickle
 import random
 import re
 import sys
@@ -617,6 +618,38 @@ def test_kneser_ney_models_sum_to_one_and_equal_plain_sums(spark, words, texts):
     assert single == pytest.approx([1, 1], abs=1e-5)
 
 
+def test_toxicity_model_stays_in_files(spark, monkeypatch):
+    """Thousands of words and pairs: what is sent to tasks doesn't grow with them, and finds what the arrays have, where there are no files too."""
+    made = [(" ".join(f"w{(7 * i + k * k) % 15_000}" for k in range(40)), i % 2) for i in range(2000)]
+    counts = toxicity._counted(spark.createDataFrame(made, "text string, toxic int").repartition(3))
+    model = toxicity.kneser_ney(counts, cutoff=0)
+    sent = pickle.dumps(model)
+    assert len(model.word) > 5_000 and len(model.pair) > 10_000 and len(sent) < 10_000
+    assert all((np.diff(keys.astype(object)) > 0).all() for keys in (model.word, model.pair))
+    monkeypatch.setattr(toxicity, "scratch_dir", lambda spark: "store://host/folder")
+    held = toxicity.kneser_ney(counts, cutoff=0)
+    assert held.words.path is None and model.words.path
+    for text, _ in [*made[:20], ("w1 new w2", 0)]:
+        p = model.probabilities(toxicity.tokens(text))
+        assert (p == pickle.loads(sent).probabilities(toxicity.tokens(text))).all() and (p == held.probabilities(toxicity.tokens(text))).all()
+
+
+def test_toxicity_counts_each_context_once(spark, monkeypatch):
+    """Triples that meet from several pieces, and words with and without a short code."""
+    monkeypatch.setattr(toxicity, "TRIPLES", 60)
+    monkeypatch.setattr(toxicity, "LEADING", 12)
+    made = [(prose(rng.randint(1, 20)), i % 2) for i in range(300)] + [("one two three", x) for x in (0, 1, 1)] + [("", 0), (None, 1), ("alone", 1)]
+    sample = spark.createDataFrame(made, "text string, toxic int").repartition(5)
+    met = {}
+    for text, toxic in made:
+        t = [0, *toxicity.tokens(text).view(np.int64).tolist()]
+        for u, v, w in zip(t, t[1:], t[2:], strict=False):
+            met.setdefault((v, w), (set(), set()))[toxic].add(u)
+    stand = {x for k in met for x in k}
+    assert 0 < len(stand & set(toxicity._codes(sample).common.view(np.int64).tolist())) < len(stand)
+    assert sorted(map(tuple, toxicity._counted(sample).collect())) == sorted((*k, len(a), len(b)) for k, (a, b) in met.items())
+
+
 @pytest.mark.parametrize("labels", [[(i, 1) for i in range(40)], [(i, 0) for i in range(40)], [(i, i % 2) for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 0]])
 def test_toxicity_with_labels_of_one_kind_or_held_out_alone(spark, tables, labels):
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
