@@ -13,7 +13,8 @@ FOLDER = "linkrank.scratch.folder"
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the session's folder below spark.checkpoint.dir, which driver and executors share. Only where the session names none and runs on
-    this machine alone is a local folder chosen; on a cluster that is an error. The session's folder is deleted when the driver ends."""
+    this machine alone is a local folder chosen; on a cluster that is an error. The path always names its file system, file:// for those of a machine,
+    also where spark.checkpoint.dir doesn't. The session's folder is deleted when the driver ends."""
     folder = spark.conf.get(FOLDER, None)
     if not folder:
         root = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,6 +28,9 @@ def scratch_dir(spark: SparkSession) -> str:
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(path)
         files.deleteOnExit(path)
+        folder = files.makeQualified(path).toString()
+        if folder.startswith("file:"):
+            folder = "file://" + folder.removeprefix("file:").removeprefix("//")
         spark.conf.set(FOLDER, folder)
     return f"{folder}/{uuid.uuid4().hex}"
 

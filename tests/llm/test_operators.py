@@ -634,6 +634,18 @@ def test_toxicity_model_stays_in_files(spark, monkeypatch):
         assert (p == pickle.loads(sent).probabilities(toxicity.tokens(text))).all() and (p == held.probabilities(toxicity.tokens(text))).all()
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_toxicity_model_stays_in_files_of_a_folder_without_a_scheme(spark, tmp_path, scheme):
+    """A plain path in spark.checkpoint.dir is as good as one that names its file system: the rows never pass through the driver."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.legacy.setCommandRejectsSparkCoreConfs", "false")
+    session.conf.set("spark.checkpoint.dir", f"{scheme}{tmp_path}")
+    made = toxicity.table(session.range(1000).selectExpr("id key", "id * 2 x"), "<i4")
+    assert made.held is None and made.path.startswith(f"{tmp_path}/linkrank-")
+    found, there = made.find(np.array([3, 999, 5000], np.uint64))
+    assert there.tolist() == [True, True, False] and found[0, :2].tolist() == [6, 1998]
+
+
 def test_toxicity_counts_each_context_once(spark, monkeypatch):
     """Triples that meet from several pieces, and words with and without a short code."""
     monkeypatch.setattr(toxicity, "TRIPLES", 60)
