@@ -135,7 +135,15 @@ def pagerank(graph: Graph, params: PageRankParams = PageRankParams(), hybrid: bo
     return state.plain().select("id", "rank"), PageRankStats(len(trace), err, time.perf_counter() - begun, converged, *host), trace
 
 
-def top_k(ranks: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
-    """The k highest ranks, smaller ids first among equals; without a full sort. digits rounds first, for comparisons across engines."""
+def rank_sum(ranks: DataFrame) -> float:
+    """The sum of all ranks to 24 decimals; a plain sum of doubles depends on their order, by 1e-11 and more among a million nodes."""
+    return float(ranks.agg(F.sum(F.col("rank").cast("decimal(38,24)"))).first()[0] or 0)
+
+
+def top_k(ranks: DataFrame, k: int = 10, digits: int | None = None, alike: int | None = None) -> DataFrame:
+    """The k highest ranks, smaller ids first among equals; without a full sort. digits rounds first, for comparisons across engines. With `alike`, ranks
+    count as equal that agree to so many decimals of the mean rank, which doesn't depend on how many nodes there are, and stay unrounded."""
+    if alike is not None:
+        return ranks.select("id", "rank").orderBy(F.desc(F.round(F.col("rank") * ranks.count(), alike)), "id").limit(k)
     rank = F.col("rank") if digits is None else F.round("rank", digits)
     return ranks.select("id", rank.alias("rank")).orderBy(F.desc("rank"), "id").limit(k)

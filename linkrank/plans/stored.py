@@ -94,11 +94,11 @@ def _rank_dump(spark, d):
 def _report(spark, d):
     """The console report of a run, and what is read out of it. Ranks that only the order of summing tells apart count as equal, so the smaller ids go first."""
     g = graph.from_edges(mixed(spark, d), keep=True)
-    ranks, stats, rows = pagerank.pagerank(g)
-    best = pagerank.top_k(ranks, digits=13)
+    ranks, stats, _ = pagerank.pagerank(g)
+    best = saved(pagerank.top_k(ranks, alike=9))
     node = {r["id"]: r["node"] for r in graph.renumbered(ranks.select("id")).join(best.select("id"), "id").collect()}
     top = [(node[r["id"]], r["id"], r["rank"]) for r in best.collect()]
-    lines = tables.report_lines("mixed", ranks.count(), g.edges.count(), "spark", 8, PageRankParams(), stats, rows[-1][3], top)
+    lines = tables.report_lines("mixed", ranks.count(), g.edges.count(), "spark", 8, PageRankParams(), stats, pagerank.rank_sum(ranks), top)
     path = scratch_dir(spark)
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     return tables.parse_report(spark.read.text(path))

@@ -43,6 +43,27 @@ def test_worked_example(spark):
     assert [r["id"] for r in pagerank.top_k(ranks, 3).collect()] == [1, 2, 0]
 
 
+def test_report_sum_doesnt_depend_on_the_order_of_summing(spark):
+    """A million ranks: added one by one, they give 1.000000000008."""
+    ranks = spark.range(0, 1_000_000, 1, 1).selectExpr("id", "1e-6D rank")
+    assert f"{ranks.groupBy().sum('rank').first()[0]:.12f}" == "1.000000000008"
+    assert f"{pagerank.rank_sum(ranks):.12f}" == "1.000000000000"
+    assert f"{pagerank.rank_sum(ranks.limit(0)):.12f}" == "0.000000000000"
+
+
+@pytest.mark.parametrize("nodes", [10, 10_000_000_000_000])
+def test_report_tells_ranks_apart_in_graphs_of_any_size(spark, nodes):
+    """Three ranks that differ, two of them by rounding alone, and a rank that isn't rounded on its way to the report."""
+    mean = 1.0 / nodes
+    rows = [(1, 1.2 * mean), (2, 1.3 * mean), (4, 1.4 * mean * (1 - 2e-16)), (3, 1.4 * mean * (1 - 4e-16)), (5, 1.1 * mean)]
+    ranks = spark.createDataFrame(rows, "id long, rank double")
+    ranks.count = lambda: nodes
+    got = pagerank.top_k(ranks, 4, alike=9).collect()
+    assert [r["id"] for r in got] == [3, 4, 2, 1] and all(r["rank"] == dict(rows)[r["id"]] for r in got)
+    edge = spark.createDataFrame([(1, 0.30000000049999996), (2, 0.7)], "id long, rank double")  # to 13 decimals first, it would be 0.300000001 in nine
+    assert [f"{r['rank']:.9f}" for r in pagerank.top_k(edge, alike=9).collect()] == ["0.700000000", "0.300000000"]
+
+
 def test_cap_is_not_convergence(spark):
     _, stats, _ = pagerank.pagerank(graph.from_edges(edges(spark, G5), keep=True), PageRankParams(max_iters=3))
     assert stats.iterations == 3 and not stats.converged
